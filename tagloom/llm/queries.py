@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import bpe, exact_dedup, secrets, token_files
+from tagloom.llm import bpe, exact_dedup, secrets, substring_dedup, suffix_dedup, token_files
 from tagloom.llm.common import shared_dir, table
 
 
@@ -23,6 +23,14 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_ids(spark, path)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.drop_repeated_words(table(spark, sf_dir, "documents"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.drop_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -33,6 +41,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op4_token_files, op9_secret_scan, op10_byte_bpe)
+    f.__name__: f for f in (op2_exact_dedup, op4_token_files, op5_substring_dedup, op8_suffix_dedup, op9_secret_scan, op10_byte_bpe)
 }
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
