@@ -8,14 +8,33 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import bpe, exact_dedup, secrets, substring_dedup, suffix_dedup, token_files
+from tagloom.llm import (
+    bpe,
+    decontaminate,
+    exact_dedup,
+    html_text,
+    near_dedup,
+    secrets,
+    substring_dedup,
+    suffix_dedup,
+    token_files,
+    toxicity,
+)
 from tagloom.llm.common import shared_dir, table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tagloom/token-files-{uuid.uuid4().hex}"
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
@@ -27,6 +46,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.drop_repeated_words(table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.drop_repeated_bytes(table(spark, sf_dir, "documents"))
 
@@ -41,6 +68,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op4_token_files, op5_substring_dedup, op8_suffix_dedup, op9_secret_scan, op10_byte_bpe)
+    f.__name__: f
+    for f in (
+        op1_decontaminate,
+        op2_exact_dedup,
+        op3_near_dedup,
+        op4_token_files,
+        op5_substring_dedup,
+        op6_main_text,
+        op7_toxicity,
+        op8_suffix_dedup,
+        op9_secret_scan,
+        op10_byte_bpe,
+    )
 }
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
