@@ -114,7 +114,7 @@ def name_tokens(text: Column, pattern: str = NAME_PATTERN, stop_words: Column |
 
 
 def strong_tokens(tokens: Column, common: Column | None = None) -> Column:
-    strong = F.filter(tokens, lambda t: (F.length(t) >= 4) & t.rlike("[a-zа-я0-9]"))
+    strong = F.filter(tokens, lambda t: (F.length(t) >= 4) & t.rlike(r"[\p{L}0-9]"))
     return strong if common is None else F.array_except(strong, common)
 
 
@@ -122,7 +122,8 @@ def name_readability(text: Column, useful: str = "(?!)") -> Column:
     """Letters and useful words count for a name; odd characters and single letters against it; 0 at least."""
     count = lambda p: F.size(F.regexp_extract_all(text, F.lit(p), F.lit(0)))
     letters, words, upper = count("[A-Za-z]"), count("[A-Za-z]{3,}"), count("[A-Z][a-z]+")
-    odd, single = count("[^A-Za-z0-9 .,%]"), count("(^| )[A-Za-z](?= |$)")
+    odd = count("[^A-Za-z0-9 .,%]")
+    single = F.size(F.filter(F.split(text, " "), lambda w: w.rlike("^[A-Za-z]$")))
     return F.greatest(F.lit(0), letters + 4 * words + 2 * upper + 6 * count(useful) - 3 * odd - 2 * single)
 
 

@@ -59,7 +59,8 @@ def barcode_vote(long: DataFrame, group: str = "group_id") -> DataFrame:
 
 
 def consistent_price(prices: DataFrame, group: str = "group_id", ratio: float = 0.08) -> DataFrame:
-    """The full price nearest to what card price and discount lead to expect, among those above the card price.
+    """The full price nearest, in whole units, to what card price and discount lead to expect, of those above the card
+    price; ties go to the first.
 
     prices: group, ord, card, share, full."""
     expected = expected_price(F.col("card"), F.col("share"))
@@ -67,6 +68,6 @@ def consistent_price(prices: DataFrame, group: str = "group_id", ratio: float =
         (F.col("full") > F.col("card")) & near(F.col("full"), F.col("expected"), ratio)
     )
     turn = F.row_number().over(
-        Window.partitionBy(group).orderBy(F.round(F.abs(F.col("full") - F.col("expected")), 6), "ord")
+        Window.partitionBy(group).orderBy(F.floor(F.abs(F.col("full") - F.col("expected")) + 0.5), "ord")
     )
     return ranked.withColumn("_turn", turn).where("_turn = 1").select(group, "full", "ord")

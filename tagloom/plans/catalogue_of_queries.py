@@ -1,4 +1,6 @@
 """All queries of the consolidation operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tagloom.plans import match_queries, vote_queries
+
+QUERIES: dict = {**vote_queries.QUERIES, **match_queries.QUERIES}
+ORACLE_SQL: dict = {**vote_queries.ORACLE_SQL, **match_queries.ORACLE_SQL}
