@@ -94,6 +94,11 @@ class TreeBpe:
         middle = len(data) // 2
         return self.join(self.half(data[:middle]), self.half(data[middle:]))
 
+    def forget(self) -> None:
+        """Empties the memos: an idle worker keeps no memory that later stages in the same process need."""
+        self.known.clear()
+        self.pieces.clear()
+
     def decode(self, ids: list[int]) -> bytes:
         """Concatenates up the tree, halves of halves."""
         if len(ids) <= 4096:
@@ -156,5 +161,6 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names
             )
+        tree.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, out)
