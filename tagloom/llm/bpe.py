@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of each memo of a worker; a full memo is emptied.
-MEMO = 400_000
+MEMO = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -97,6 +97,7 @@ class TreeBpe:
     def forget(self) -> None:
         """Empties the memos: an idle worker keeps no memory that later stages in the same process need."""
         self.known.clear()
+        self.pairs.clear()
         self.pieces.clear()
 
     def decode(self, ids: list[int]) -> bytes:

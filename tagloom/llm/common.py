@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +123,14 @@ def blocks(items: list, sizes: list[int], limit: int = BLOCK_BYTES) -> Iterator[
         yield run
 
 
+def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[list[int], list[str]]]:
+    """Indexes and texts of a batch's column in runs of about `limit` bytes, null as empty: only one run at a time is
+    held as Python strings."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for some in blocks(sizes, sizes, limit):
+        yield some, [t or "" for t in column.slice(some[0], len(some)).to_pylist()]
+
+
 def bit_filter(hashes: DataFrame, col: str, log2_bits: int = 23) -> np.ndarray:
     """A bitmap of fixed size (1 MB at 23) with two bits for each value of the column.
 

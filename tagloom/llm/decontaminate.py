@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import bit_filter, blocks, in_filter, mix, row_key, stage
+from tagloom.llm.common import bit_filter, in_filter, mix, row_key, stage, text_blocks
 from tagloom.llm.tokens import word_hashes
 
 #: Fixed masks; 1 is a word that counts, 0 one that may differ.
@@ -86,9 +86,9 @@ def candidates(docs: DataFrame, bits: np.ndarray, masks: list[str]) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            keys, texts = batch.column(0).to_numpy(), [t or "" for t in batch.column(1).to_pylist()]
-            for some in blocks(texts, [len(t) for t in texts]):
-                words, counts = word_hashes([texts[i] for i in some])
+            keys = batch.column(0).to_numpy()
+            for some, texts in text_blocks(batch.column(1)):
+                words, counts = word_hashes(texts)
                 ends = np.cumsum(counts)
                 text = np.repeat(np.arange(len(some)), counts)
                 owners, places, values = [], [], []
