@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.llm.common import bound_batches
+
 #: Entries of each memo of a worker; a full memo is emptied.
 MEMO = 150_000
 
@@ -145,6 +147,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
 
     A null text counts as empty: no ids, and the digests of no bytes. Rows are independent: repeated rows give repeated
     results, an empty table none; further columns of docs play no part."""
+    bound_batches(docs.sparkSession)
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,8 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a task turns into numpy arrays at once.
-BLOCK_BYTES = 2 << 20
+#: Bytes of text that a task turns into numpy arrays at once; a little under a power of two, as tables of powers are.
+BLOCK_BYTES = 1_000_000
+#: Bytes of rows that go to a Python worker at once, about.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the batches for Python workers in bytes, as texts may be long, where the session has no bound of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower case of A-Z only. Texts of ASCII characters take the faster built-in, which is the same for them."""
     plain = F.octet_length(text) == F.char_length(text)

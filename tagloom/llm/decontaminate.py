@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import bit_filter, in_filter, mix, row_key, stage, text_blocks
+from tagloom.llm.common import bit_filter, bound_batches, in_filter, mix, row_key, stage, text_blocks
 from tagloom.llm.tokens import word_hashes
 
 #: Fixed masks; 1 is a word that counts, 0 one that may differ.
@@ -123,6 +123,7 @@ def candidates(docs: DataFrame, bits: np.ndarray, masks: list[str]) -> DataFrame
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """key, item_id, first, last, agree: verified overlaps of documents (by row key) with items, in words."""
+    bound_batches(docs.sparkSession)
     items = stage(benchmark_seeds(benchmark), "benchmark-seeds")
     each = items.select("item_key", F.explode(F.arrays_zip("places", "seeds")).alias("s"))
     each = each.select("item_key", F.col("s.places").alias("item_at"), F.col("s.seeds").alias("seed"))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.llm.common import bound_batches
+
 #: Labelled rows that the lexicon is learned from, the first by a hash of doc_id; a bound on what is fitted, no more.
 TRAIN_ROWS = 12_000
 #: Entries and exceptions, at most.
@@ -109,7 +111,7 @@ def counted(rows: DataFrame) -> DataFrame:
                     found.add(f" {word} ")
                     found.update(f" {word[:n]}" for n in STEM if n <= len(word))
                 sums[label].update(found)
-                if len(sums[0]) + len(sums[1]) > 300_000:
+                if len(sums[0]) + len(sums[1]) > 100_000:
                     yield flush()
         yield flush()
 
@@ -119,8 +121,8 @@ def counted(rows: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[str], np.ndarray]:
     """Entries, exceptions and the coefficients of a logistic regression on the features."""
-    rows = training_rows(docs, labels)
-    rows = rows.persist()
+    bound_batches(docs.sparkSession)
+    rows = training_rows(docs, labels).persist()
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     counts = counted(rows).persist()
