@@ -1,6 +1,6 @@
 """All queries of the consolidation operators and their SQL."""
 
-from tagloom.plans import match_queries, vote_queries
+from tagloom.plans import block_queries, match_queries, vote_queries
 
-QUERIES: dict = {**vote_queries.QUERIES, **match_queries.QUERIES}
-ORACLE_SQL: dict = {**vote_queries.ORACLE_SQL, **match_queries.ORACLE_SQL}
+QUERIES: dict = {**vote_queries.QUERIES, **match_queries.QUERIES, **block_queries.QUERIES}
+ORACLE_SQL: dict = {**vote_queries.ORACLE_SQL, **match_queries.ORACLE_SQL, **block_queries.ORACLE_SQL}
