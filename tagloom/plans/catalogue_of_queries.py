@@ -1,6 +1,7 @@
 """All queries of the consolidation operators and their SQL."""
 
-from tagloom.plans import block_queries, match_queries, vote_queries
+from tagloom.plans import block_queries, label_queries, match_queries, vote_queries
 
-QUERIES: dict = {**vote_queries.QUERIES, **match_queries.QUERIES, **block_queries.QUERIES}
-ORACLE_SQL: dict = {**vote_queries.ORACLE_SQL, **match_queries.ORACLE_SQL, **block_queries.ORACLE_SQL}
+_PLANS = (vote_queries, match_queries, block_queries, label_queries)
+QUERIES: dict = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}
