@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.functions import label_text as T
 from tagloom.functions.scalars import noisy_name
 from tagloom.operators import blocks as B
 from tagloom.operators import labels as L
@@ -294,3 +295,22 @@ def reported_groups(spark, sf_dir):
     ids = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("group_id")).union(table(spark, sf_dir, "customer").select("c_custkey")).distinct()
     each = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("group_id")).agg(F.count(F.lit(1)).alias("views"), F.countDistinct("event_type").alias("kinds"))
     return each.join(ids, "group_id", "left_semi")
+
+
+@query(f"""WITH {LABELS_SQL}, n AS (SELECT text, conf, lower(text) AS t, regexp_replace(text, '[^0-9]', '', 'g') AS n FROM b),
+x AS (SELECT CASE WHEN starts_with(t, '__') THEN 'service' WHEN regexp_matches(text, '[0-9]{{2}}\\.[0-9]{{2}}\\.[0-9]{{2,4}}') THEN 'date'
+WHEN regexp_matches(t, '^-?\\s*[0-9]{{1,2}}\\s*%?$') THEN 'discount' WHEN regexp_matches(t, '^[0-9]+$') THEN 'numeric'
+WHEN regexp_matches(t, 'без карт|с карт|картой|карты|руб|цена|от цены|скид|код') THEN 'service_label' END AS reason,
+contains(t, 'карт') AND contains(t, 'без') AS without_card, contains(t, 'ном') AND contains(t, 'вес') AS scale_label,
+length(n) BETWEEN 2 AND 4 AND conf >= 0.35 AS scale_number, CASE length(n) WHEN 6 THEN concat(n[1:4], '.', n[5:6])
+WHEN 5 THEN concat(n[1:4], '.', n[5:5], '0') END AS price FROM n)
+SELECT reason, without_card, scale_label, scale_number, price IS NOT NULL AS red_price, count(*) AS n,
+count(*) FILTER (CAST(price AS DOUBLE) BETWEEN 1000 AND 2500) AS in_range FROM x GROUP BY ALL""")
+def block_text_rules(spark, sf_dir):
+    text, price = F.col("text"), T.red_price(F.col("text"))
+    rows = _label_blocks(spark, sf_dir).select(
+        T.rejected_name(text).alias("reason"), T.without_card(text).alias("without_card"), T.scale_label(text).alias("scale_label"),
+        T.scale_number(text, F.col("conf")).alias("scale_number"), price.isNotNull().alias("red_price"), T.in_default_range(price).alias("fits"),
+    )
+    keys = ["reason", "without_card", "scale_label", "scale_number", "red_price"]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("fits").alias("in_range"))

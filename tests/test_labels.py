@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tagloom.functions import label_text as T
 from tagloom.functions.scalars import noisy_name
 from tagloom.operators import labels, payloads, summary
 from tagloom.sources import reports
@@ -104,3 +105,23 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     got = [tuple(r)[1:] for r in spark.read.parquet(out).collect()]
     assert got == [(1, "f", "a", 2)]
     assert sorted(tuple(r)[1:] for r in windowed_votes(table(early + late), "1 minute", "5 minutes").collect()) == [(1, "f", "a", 2), (2, "f", "z", 1)]
+
+
+def test_block_texts(spark):
+    def one(column, value):
+        return spark.createDataFrame([(value,)], "c string").select(column(F.col("c"))).first()[0]
+
+    for text, reason in (
+        (None, "empty"), (" ", "empty"), ("__k", "service"), ("01.02.2024", "date"), ("10:30", "time"), ("-22 %", "discount"), ("1 499,90", "numeric"),
+        ("a12345678", "long_digits"), ("12_3-4", "layout_code"), ("Цена", "service_label"), ("#1", "no_letters"), ("##a#", "too_many_specials"), ("Вино бел", None),
+    ):
+        assert one(T.rejected_name, text) == reason, text
+    for text, price in (("1 499,90 p", "1499.90"), ("149990", "1499.90"), ("14999", "1499.90"), ("1.2.3", None), ("12", None), (None, None)):
+        assert one(T.red_price, text) == price
+    assert one(T.without_card, "Б8З  карты") and one(T.without_card_red, "6 e з к а р т ы") and not one(T.without_card, None)
+    assert one(T.scale_label, "Hoмep на вecах") is False and one(T.scale_label, "Номep на веcах") is False and one(T.scale_label, "Номер на вeсах")
+    assert one(T.clean_name, "Внмо  HAUТ , 0 , 75 l бел: сух") == "Вино HAUT, 0.75L бел. сух."
+    assert one(lambda c: T.likely_quantity(F.lit(10.0), c), "в уп. 10 ШТ") and not one(lambda c: T.likely_quantity(F.lit(10.5), c), "10 шт")
+    assert not one(lambda c: T.likely_quantity(F.lit(10.0), c), "110 шт")
+    assert [one(T.lenient_int, t) for t in ("3.7", "x", None)] == [3, 0, 0] and one(T.lenient_bool, " Yes ") and not one(T.lenient_bool, None)
+    assert one(T.lenient_object, '{"a": 1}') == {"a": "1"} and one(T.lenient_object, "[1]") == {} and one(T.lenient_object, "{") == {}
