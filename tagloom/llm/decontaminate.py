@@ -180,4 +180,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The clean rows of docs."""
     key = row_key(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = stage(leaks(docs, benchmark).select(F.col("key").alias("_leak_")).distinct(), "leaks")
-    return docs.withColumn("_key_", key).join(found, F.col("_key_") == F.col("_leak_"), "left_anti").drop("_key_")
+    return docs.join(found, key == found["_leak_"], "left_anti")

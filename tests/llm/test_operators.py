@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tagloom.llm import bpe, decontaminate, exact_dedup, html_text, near_dedup, repeats, secrets, token_files, toxicity
@@ -138,6 +139,11 @@ def test_near(docs, spark):
     assert near_dedup.near_classes(docs).count() == len(ROWS)
     kept = near_dedup.drop_near_copies(rows)
     assert kept.columns == rows.columns and kept.count() == 5
+    # rows go by id and text: the second row of id 2, and the row without an id that has no copy, stay
+    more = spark.createDataFrame([(None, texts[0], 1), (None, "alone", 1), (2, " ".join(f"u{i}" for i in range(50)), 1)], "doc_id long, text string, _key0_ int")
+    mixed = near_dedup.drop_near_copies(rows.withColumn("_key0_", F.lit(1)).unionByName(more).unionByName(more))
+    assert mixed.columns == ["doc_id", "text", "_key0_"]
+    assert order(r["doc_id"] for r in mixed.collect()) == order([0, 2, 2, 4, 5, 6, None])
     assert near_dedup.near_classes(rows.limit(0)).count() == 0
 
 
@@ -150,7 +156,8 @@ def test_decontaminate(spark):
     bench = spark.createDataFrame([(5, " ".join(item)), (6, None), (7, "too short")], "item_id long, text string")
     got = {r["doc_id"]: (r["contaminated"], r["item_ids"]) for r in decontaminate.contamination(docs, bench).collect()}
     assert got == {0: (True, [5]), 1: (True, [5]), 2: (False, []), 3: (False, []), 4: (False, [])}
-    assert decontaminate.drop_contaminated(docs, bench).count() == 3
+    clash = decontaminate.drop_contaminated(docs.selectExpr("*", "1 AS _key_", "2 AS _leak_"), bench)
+    assert clash.columns == ["doc_id", "text", "_key_", "_leak_"] and clash.count() == 3
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == 5
 
 
