@@ -5,10 +5,14 @@
    sampling, with its quantised weight. Two texts agree in a sample with the probability of their weighted Jaccard
    similarity. Texts with the same words in a row are one text from here on.
 3. Samples are banded. In a bucket each text is paired with the least and the greatest of the bucket, and of the bucket
-   refined by the next band; no bucket's pairs are all made.
+   refined by the next band.
    Pairs that agree in too few of all samples for the similarity are left out; the samples are far smaller than texts.
-4. Pairs are verified by the weighted Jaccard similarity of the whole texts.
-5. Connected components of the verified pairs, by star contraction, are the classes."""
+4. Pairs are verified by the weighted Jaccard similarity of the whole texts. Their connected components, by star
+   contraction, are classes so far.
+5. Buckets that still hold several classes are compared out: all their pairs of different classes, in tiles of two salted
+   blocks, by samples and then by whole texts. The work grows with the square of the texts of a bucket that are not of
+   its largest class.
+6. Connected components of the classes over these pairs are the classes."""
 
 from __future__ import annotations
 
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import bit_filter, bound_batches, in_filter, mix, row_key, stage, text_blocks
+from tagloom.llm.common import bit_filter, blocks, bound_batches, in_filter, mix, row_key, stage, text_blocks
 from tagloom.llm.tokens import shingles, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -31,6 +35,8 @@ AGREE = 56
 WIDTH, DEPTH, BLOCK = 1 << 18, 2, 1 << 12
 #: Entries of the tables of random variates; a shingle picks one from each of three tables.
 VARIATES = 1 << 12
+#: Texts of a salted block of a bucket, about; a tile has two blocks.
+TILE = 128
 
 
 def _buckets(h: np.ndarray, row: int) -> np.ndarray:
@@ -183,18 +189,17 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
 
 
 def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs that agree in AGREE of their samples."""
+    """The pairs, with whether they agree in AGREE of their samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, BANDS * ROWS) for c in batch.columns[2:])
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(
-                pa.array((x == y).sum(axis=1) >= AGREE)
-            )
+            agree = pa.array((x == y).sum(axis=1) >= AGREE)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], agree], names=["a", "b", "agree"])
 
     one = pairs.join(reps.select(F.col("key").alias("a"), F.col("names").alias("names_a")), "a")
     two = one.join(reps.select(F.col("key").alias("b"), F.col("names").alias("names_b")), "b")
-    return two.select("a", "b", "names_a", "names_b").mapInArrow(run, "a long, b long")
+    return two.select("a", "b", "names_a", "names_b").mapInArrow(run, "a long, b long, agree boolean")
 
 
 def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -244,6 +249,119 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: f
     return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def open_tiles(rooted: DataFrame) -> DataFrame:
+    """tile, key, root, band, block, whole: the texts of the buckets that hold several roots, in tiles of two blocks.
+
+    Any two texts of a bucket with different roots meet in one tile of it. The texts of the bucket's most frequent root
+    have blocks of their own, which meet the blocks of the others only; whole: both blocks of the tile are the same."""
+    c = F.col
+    each = rooted.select("key", "root", F.posexplode("bands").alias("band", "bucket"))
+    roots = each.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = roots.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"))
+    sizes = sizes.where("n > main.n").select(
+        "bucket",
+        c("main.root").alias("main"),
+        F.ceil((c("n") - c("main.n")) / TILE).alias("others"),
+        F.ceil(c("main.n") / TILE).alias("mains"),
+    )
+    turn, is_main = F.xxhash64("key", "bucket"), c("root") == c("main")
+    block = F.when(is_main, c("others") + F.pmod(turn, "mains")).otherwise(F.pmod(turn, "others"))
+    partners = F.sequence(F.lit(0).cast("long"), F.when(is_main, c("others")).otherwise(c("others") + c("mains")) - 1)
+    met = each.join(sizes, "bucket").select("bucket", "key", "root", "band", block.alias("block"), F.explode(partners).alias("with"))
+    tile = F.xxhash64("bucket", F.least("block", "with"), F.greatest("block", "with"))
+    return met.select(tile.alias("tile"), "key", "root", "band", "block", (c("block") == c("with")).alias("whole"))
+
+
+def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each tile from batches in the order of tiles."""
+    rest = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.concat_batches([rest, batch])
+        tile = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1).tolist()]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(start, end - start)
+        rest = batch.slice(cuts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def tile_pairs(placed: DataFrame, reps: DataFrame) -> DataFrame:
+    """tile, key, others: texts of tiles, with the keys they have to be verified with there (none for the other side).
+
+    Those are of another root and agree in AGREE samples. A pair that shares several bands counts in the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in tiles(batches):
+            tile, key, root, band, block, whole = (t.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            names = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
+            bands = t.column(7).flatten().to_numpy().reshape(-1, BANDS)
+            others: dict[int, list[int]] = {}
+            for i in range(len(key) - 1):
+                new = np.flatnonzero((root[i + 1 :] != root[i]) & ((block[i + 1 :] != block[i]) | whole[i])) + i + 1
+                new = new[(names[new] == names[i]).sum(axis=1) >= AGREE]
+                new = new[(bands[new] == bands[i]).argmax(axis=1) == band[i]]
+                if len(new):
+                    others.setdefault(i, []).extend(key[new].tolist())
+                    for j in new.tolist():
+                        others.setdefault(j, [])
+            if others:
+                rows = sorted(others)
+                columns = [pa.array(tile[rows]), pa.array(key[rows]), pa.array([others[i] for i in rows], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["tile", "key", "others"])
+
+    both = placed.join(reps.select("key", "names", "bands"), "key")
+    both = both.select("tile", "key", "root", "band", "block", "whole", "names", "bands")
+    return both.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "tile long, key long, others array<long>")
+
+
+def verified_tiles(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: float) -> DataFrame:
+    """a, b: the pairs of tiles whose whole texts have the weighted Jaccard similarity."""
+    shared = pairs.sparkSession.sparkContext.broadcast(weights)
+
+    def compare(keys: list[int], own: list[str], wanted: list[list[int]]) -> Iterator[tuple[int, int]]:
+        owner, value, times = shingles(own, SHINGLE)
+        weight = shared.value.of(value, times)
+        vocabulary, at = np.unique(value, return_inverse=True)
+        ends = np.searchsorted(owner, np.arange(len(own) + 1))
+        total = np.add.reduceat(weight, ends[:-1])
+        mine = np.zeros(len(vocabulary))
+        for i, some in enumerate(wanted):
+            if not some:
+                continue
+            here = slice(ends[i], ends[i + 1])
+            mine[at[here]] = weight[here]
+            flat = np.concatenate([np.arange(ends[j], ends[j + 1]) for j in some])
+            starts = np.cumsum([0, *(ends[j + 1] - ends[j] for j in some[:-1])])
+            both = np.add.reduceat(np.minimum(mine[at[flat]], weight[flat]), starts)
+            for j in np.array(some)[both >= similarity * (total[i] + total[some] - both) - 1e-9].tolist():
+                yield keys[i], keys[j]
+            mine[at[here]] = 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in tiles(batches):
+            keys, others, own = (t.column(i).to_pylist() for i in (1, 2, 3))
+            parts = list(blocks(own, [len(x) for x in own]))
+            found = []
+            for x, first in enumerate(parts):  # one, unless texts are long
+                for second in parts[x:]:
+                    some = first if second is first else first + second
+                    place = {keys[i]: n for n, i in enumerate(some)}
+                    left = {keys[i] for i in first}
+                    wanted = [
+                        [place[k] for k in others[i] if k in place and (second is first or (k in left) != (keys[i] in left))]
+                        for i in some
+                    ]
+                    if any(wanted):
+                        found += compare([keys[i] for i in some], [own[i] for i in some], wanted)
+            columns = list(zip(*found, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+    both = pairs.join(texts.hint("merge"), "key").select("tile", "key", "others", "text")
+    return both.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of each connected component, for all nodes of the edges (a, b).
 
@@ -292,12 +410,23 @@ def keyed_classes(docs: DataFrame, similarity: float) -> DataFrame:
     # texts with the same words: the one with the least key stands for all
     alike = named.groupBy("same").agg(F.min("key").alias("rep"))
     reps = named.join(alike, (named["key"] == alike["rep"]) & (named["same"] == alike["same"]), "left_semi").dropDuplicates(["key"])
-    pairs = stage(likely(candidate_pairs(reps.select("key", "bands")), reps), "pairs")
+    met = stage(likely(candidate_pairs(reps.select("key", "bands")), reps), "pairs")
+    pairs = met.where("agree").drop("agree")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     found = components(verified(pairs, texts_of(docs, ends), weights, similarity))
-    roots = alike.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "same", F.coalesce("root", "rep").alias("root")
-    )
+    # a text that shares a bucket has been paired with an end of it, likely or not
+    some = met.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    near = stage(reps.select("key", "names", "bands").join(some, "key", "left_semi"), "bucketed")
+    rooted = near.select("key", "bands").join(found.withColumnRenamed("node", "key"), "key", "left")
+    rooted = rooted.select("key", "bands", F.coalesce("root", "key").alias("root"))
+    left = stage(tile_pairs(open_tiles(rooted), near), "tiles")
+    links = verified_tiles(left, texts_of(docs, left.select("key").distinct()), weights, similarity)
+    for end in ("a", "b"):
+        root = found.select(F.col("node").alias(end), F.col("root").alias("root_"))
+        links = links.join(root, end, "left").withColumn(end, F.coalesce("root_", end)).drop("root_")
+    joined = components(links).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    first = alike.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("root"))
+    roots = first.join(joined, "root", "left").select("same", F.coalesce("last", "root").alias("root"))
     # from classes to documents over the texts' digests: each digest's documents are counted before classes are
     each = named.groupBy("same").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).join(roots, "same")
     sizes = each.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))

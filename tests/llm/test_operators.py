@@ -147,6 +147,30 @@ def test_near(docs, spark):
     assert near_dedup.near_classes(rows.limit(0)).count() == 0
 
 
+def test_near_template(spark, monkeypatch):
+    """Pairs of 0.82 among texts of one template, strangers of 0.78: as all pairs compared."""
+    monkeypatch.setattr(near_dedup, "TILE", 40, raising=False)
+    template = [f"t{i}" for i in range(300)]
+    texts = [" ".join([*(f"o{i}x{k}" for k in range(17)), *template, *(f"p{i // 2}x{k}" for k in range(5))]) for i in range(240)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weights = near_dedup.Weights(*near_dedup.document_frequencies(rows))
+    own = []
+    for text in texts:
+        _, value, times = near_dedup.shingles([text], near_dedup.SHINGLE)
+        own.append(dict(zip(value.tolist(), weights.of(value, times).tolist(), strict=True)))
+    least, strangers = list(range(len(texts))), 0
+    for i, x in enumerate(own):
+        for j in range(i + 1, len(own)):
+            both = sum(min(w, own[j][v]) for v, w in x.items() if v in own[j])
+            like = both / (sum(x.values()) + sum(own[j].values()) - both)
+            strangers += 0.7 < like < 0.8
+            if like >= 0.8:
+                least = [least[i] if c == least[j] else c for c in least]
+    assert strangers > 28_000 and len(set(least)) == 120
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(rows).collect()}
+    assert got == dict(enumerate(least))
+
+
 def test_decontaminate(spark):
     item = [f"q{i}" for i in range(20)]
     swapped = [*item[:6], "zz", *item[7:]]
