@@ -16,14 +16,27 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import bit_filter, bound_batches, in_filter, mix, row_key, stage, text_blocks
 from tagloom.llm.tokens import word_hashes
 
-#: Fixed masks; 1 is a word that counts, 0 one that may differ.
-MASKS = ("11101101011", "1101110111", "110101011011")
-#: Words of the overlap that must agree but for a sixth of them. Items with fewer words must agree as a whole.
+#: Fixed masks; 1 is a word that counts, 0 one that may differ. With any two words of 13 substituted one of them is hit,
+#: and likewise of 12 for the second set.
+MASKS = ("111101111", "1110111011", "11010011111", "111110100011", "110001111011")
+MASKS_12 = ("11111011", "110101111", "11101100011", "110000011111")
+#: Words of the overlap that must agree but for a sixth of them. Items with fewer words must agree as a whole, but for a
+#: sixth as well.
 OVERLAP = 13
 #: Items with fewer words can't be told from ordinary text and are left out.
 LEAST_WORDS = 5
 
 
+def masks_of(n: int) -> tuple[str, ...]:
+    """Masks for an item of n words, one of which is hit wherever a sixth of an overlap's words is substituted."""
+    if n >= 12:
+        return MASKS if n >= OVERLAP else MASKS_12
+    if n < 6:
+        return ("1" * n,)
+    third = -(-n // 3)  # one substitution lies in the first third, in the last one, or between them
+    return "1" * (n - third), "1" * third + "0" * (n - 2 * third) + "1" * third
+
+
 def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     """Hash of the words that the mask counts, at each place."""
     n = len(words) - len(mask) + 1
@@ -54,7 +67,7 @@ def overlap_found(item: np.ndarray, doc: np.ndarray, shift: int) -> tuple[int, i
 
 
 def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
-    """item_key, item_id, words, places and seeds of each item. Items too short for a mask have one of their length."""
+    """item_key, item_id, words, places and seeds of each item, by the masks of its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,8 +76,7 @@ def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
                 words, _ = word_hashes([text or ""])
                 if len(words) < LEAST_WORDS:
                     continue
-                masks = MASKS if len(words) >= OVERLAP else ("1" * len(words),)
-                found = [seeds(words, m) for m in masks]
+                found = [seeds(words, m) for m in masks_of(len(words))]
                 places = np.concatenate([np.arange(len(s)) for s in found]).astype(np.int32)
                 row = [key, i, words.view(np.int64), places, np.concatenate(found).view(np.int64)]
                 kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
@@ -128,7 +140,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     each = items.select("item_key", F.explode(F.arrays_zip("places", "seeds")).alias("s"))
     each = each.select("item_key", F.col("s.places").alias("item_at"), F.col("s.seeds").alias("seed"))
     sizes = [r["n"] for r in items.select(F.size("words").alias("n")).where(F.col("n") < OVERLAP).distinct().collect()]
-    masks = [*MASKS, *("1" * n for n in sorted(sizes))]  # as many as there are lengths under OVERLAP, at most
+    masks = sorted({m for n in (OVERLAP, *sizes) for m in masks_of(n)})  # a few for each length under OVERLAP, at most
     found = stage(candidates(docs, bit_filter(each, "seed", 25), masks), "seed-hits").dropDuplicates(["key"])
     hits = found.select("key", F.explode(F.arrays_zip("places", "seeds")).alias("s")).select(
         "key", F.col("s.places").alias("at"), F.col("s.seeds").alias("seed")

@@ -3,6 +3,7 @@ further columns of clashing names."""
 
 import collections
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -185,6 +186,21 @@ def test_decontaminate(spark):
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == 5
 
 
+def test_decontaminate_substitutions(spark):
+    """Every place of the tolerated substitutions in overlaps of 5 to 13 words, and every sixth word of a long one."""
+    fill, texts, expected = " ".join(f"n{i}" for i in range(20)), [], []
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in (*range(5, 14), 40)}
+    for n, item in items.items():
+        places = itertools.combinations(range(n), n // 6) if n < 40 else [range(phase, 40, 6) for phase in range(6)]
+        for at in places:
+            texts.append(f"{fill} {' '.join('zz' if k in at else w for k, w in enumerate(item))} {fill}")
+            expected.append([n])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == dict(enumerate(expected)) and len(expected) == 202
+
+
 def test_html(spark):
     page = (
         "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><a>Home</a></nav><div class='ad'>buy</div>"
