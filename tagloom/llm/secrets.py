@@ -22,11 +22,11 @@ ORDER = {"assign": 0, "access": 1, "hex": 2, "id": 3, "secret": 4, "endpoint": 5
 #: Weak parts, reported only when complementary parts lie in the same scope.
 WEAK = {
     "id": re.compile(
-        r"""(?:access_?key_?id|client_?id|user(?:name)?|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,128})""",
+        r"""(?:access_?key_?id|client_?id|user(?:name)?|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,})""",
         re.I | re.A,
     ),
-    "secret": re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{32,128}={0,2}(?![A-Za-z0-9+/=])"),
-    "endpoint": re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,200}", re.A),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=])"),
+    "endpoint": re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,}", re.A),
 }
 #: Characters around a part within which a complementary part counts.
 SCOPE = 200

@@ -127,6 +127,15 @@ def test_secrets(spark):
     assert got[2]["spans"] == got[3]["spans"] == "" and got[1]["n_access"] == 1
 
 
+def test_long_secrets():
+    run, name, rest = "aB3" * 100, "n" * 150, "x" * 900
+    text = f"{run}== login={name} s3://{rest} end"
+    got = secrets.linked_parts(secrets.base_spans(text), secrets.weak_parts(text))
+    assert [(text[s:e], k) for s, e, k in got] == [(f"{run}==", "secret"), (f"login={name}", "id"), (f"s3://{rest}", "endpoint")]
+    # many starts that lead nowhere: time in proportion to the text
+    assert secrets.weak_parts("aB3" * 100_000 + "===") == [] and secrets.weak_parts("=" + "a+." * 100_000 + ":") == []
+
+
 def test_near(docs, spark):
     words = [f"w{i}" for i in range(300)]
     edited = [*words[:100], "x", *words[101:]]
