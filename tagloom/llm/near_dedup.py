@@ -35,8 +35,8 @@ AGREE = 56
 WIDTH, DEPTH, BLOCK = 1 << 18, 2, 1 << 12
 #: Entries of the tables of random variates; a shingle picks one from each of three tables.
 VARIATES = 1 << 12
-#: Texts of a salted block of a bucket, about; a tile has two blocks.
-TILE = 128
+#: Texts of a salted block of a bucket, about; a tile has two blocks, of under a megabyte of samples.
+TILE = 1024
 
 
 def _buckets(h: np.ndarray, row: int) -> np.ndarray:
@@ -178,34 +178,50 @@ def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """a, b: each text of a bucket with the least and the greatest key of it, once."""
+def bucketed(reps: DataFrame) -> DataFrame:
+    """key, names, bands and `met`, for the texts that share a bucket: met is how many texts all its buckets hold."""
+    each = reps.select("key", F.explode("bands").alias("bucket"))
+    sizes = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = each.join(sizes, "bucket").groupBy("key").agg(F.sum("n").alias("met"))
+    return stage(reps.select("key", "names", "bands").join(met, "key"), "bucketed")
+
+
+def candidate_pairs(near: DataFrame) -> DataFrame:
+    """a, b: each text of a bucket with the one of it that meets the most texts, and with the least key, once.
+
+    Of a group of near copies, the text that the others are edits of shares the most buckets, so most pairs of a group
+    are links at once."""
     bands = F.posexplode("bands").alias("j", "bucket")
     refined = F.xxhash64("bucket", F.element_at("bands", (F.col("j") + 1) % BANDS + 1))
-    each = reps.select("key", "bands", bands).select("key", F.explode(F.array("bucket", refined)).alias("bucket"))
-    ends = each.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
-    met = each.join(ends, "bucket").select("key", F.explode(F.array("low", "high")).alias("other"))
+    each = near.select("key", "met", "bands", bands).select("key", "met", F.explode(F.array("bucket", refined)).alias("bucket"))
+    ends = each.groupBy("bucket").agg(
+        F.max(F.struct("met", "key"))["key"].alias("hub"), F.min("key").alias("low"), F.max("key").alias("high")
+    )
+    ends = ends.where("low < high").select("bucket", "hub", "low")
+    met = each.join(ends, "bucket").select("key", F.explode(F.array("hub", "low")).alias("other"))
     return met.where(F.col("key") != F.col("other")).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
 def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs, with whether they agree in AGREE of their samples."""
+    """The pairs that agree in AGREE of their samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, BANDS * ROWS) for c in batch.columns[2:])
-            agree = pa.array((x == y).sum(axis=1) >= AGREE)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], agree], names=["a", "b", "agree"])
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(
+                pa.array((x == y).sum(axis=1) >= AGREE)
+            )
 
     one = pairs.join(reps.select(F.col("key").alias("a"), F.col("names").alias("names_a")), "a")
     two = one.join(reps.select(F.col("key").alias("b"), F.col("names").alias("names_b")), "b")
-    return two.select("a", "b", "names_a", "names_b").mapInArrow(run, "a long, b long, agree boolean")
+    return two.select("a", "b", "names_a", "names_b").mapInArrow(run, "a long, b long")
 
 
 def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """key and text of the documents with these row keys, once each.
 
-    A bit map of fixed size leaves most other texts out before any shuffle; the join after it is exact."""
+    A bit map of fixed size leaves most other texts out before any shuffle; the join after it is exact. The texts are
+    written, so that joins with them begin with a shuffle of their own and adaptive execution can split a hot key."""
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(keys, "key", 24))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +231,7 @@ def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     key = row_key(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key")
     some = docs.select(key, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     some = some.mapInArrow(run, "key long, text string")
-    return some.join(keys.hint("merge"), "key", "left_semi").dropDuplicates(["key"])
+    return stage(some.join(keys.hint("merge"), "key", "left_semi").dropDuplicates(["key"]), "texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: float) -> DataFrame:
@@ -410,13 +426,10 @@ def keyed_classes(docs: DataFrame, similarity: float) -> DataFrame:
     # texts with the same words: the one with the least key stands for all
     alike = named.groupBy("same").agg(F.min("key").alias("rep"))
     reps = named.join(alike, (named["key"] == alike["rep"]) & (named["same"] == alike["same"]), "left_semi").dropDuplicates(["key"])
-    met = stage(likely(candidate_pairs(reps.select("key", "bands")), reps), "pairs")
-    pairs = met.where("agree").drop("agree")
+    near = bucketed(reps)
+    pairs = stage(likely(candidate_pairs(near), near), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     found = components(verified(pairs, texts_of(docs, ends), weights, similarity))
-    # a text that shares a bucket has been paired with an end of it, likely or not
-    some = met.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    near = stage(reps.select("key", "names", "bands").join(some, "key", "left_semi"), "bucketed")
     rooted = near.select("key", "bands").join(found.withColumnRenamed("node", "key"), "key", "left")
     rooted = rooted.select("key", "bands", F.coalesce("root", "key").alias("root"))
     left = stage(tile_pairs(open_tiles(rooted), near), "tiles")
