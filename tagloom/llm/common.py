@@ -107,13 +107,13 @@ def rolling(values: np.ndarray, width: int) -> np.ndarray:
     return mix((s[width:] - s[:n]) * down[:n])
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
 def words_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of bytes that aren't ASCII white space."""
-    word = ~_SPACE[buf]
+    word = ~SPACE[buf]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).view(np.int8)))
     return edge[0::2], edge[1::2]
 

@@ -2,10 +2,10 @@
 
 A container (one row of the written table) holds whole documents in ascending doc_id order:
 
-    "PLN1" | n_docs, n_ids, n_blocks: u32 each | doc_id: i64 x n_docs | n_tokens: u64 x n_docs
+    "PLN1" | n_docs, n_null, n_ids, n_blocks: u32 each | doc_id: i64 x n_docs | n_tokens: u64 x n_docs
     | chunk index: for each block its offset u64, ids u32 and plane lengths u32 x 4 | planes
 
-A block is BLOCK_IDS ids (the last may be shorter), transposed into four byte planes, most significant last. The table is
+The first n_null documents have no id (0 is written for them). A block is BLOCK_IDS ids (the last may be shorter), transposed into four byte planes, most significant last. The table is
 partitioned by nothing and sorted; `shard` and `seq` give the order of containers."""
 
 from __future__ import annotations
@@ -17,19 +17,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tagloom.llm.common import SPACE, blocks, bound_batches, mix
+
 BLOCK_IDS = 1 << 16
 #: Ids after which a container is closed; a longer document has one of its own.
 CONTAINER_IDS = 1 << 20
+#: Bytes of text in a range of doc_id, about, at most.
+RANGE_BYTES = 256 << 20
 MAGIC = b"PLN1"
-_HEAD, _INDEX = struct.Struct("<4s3I"), np.dtype([("offset", "<u8"), ("ids", "<u4"), ("planes", "<u4", 4)])
+_HEAD, _INDEX = struct.Struct("<4s4I"), np.dtype([("offset", "<u8"), ("ids", "<u4"), ("planes", "<u4", 4)])
 
 
-def pack(doc_ids: list[int], counts: list[int], ids: np.ndarray) -> bytes:
-    """A container of the documents' ids, one after the other."""
+def pack(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
+    """A container of the documents' ids, one after the other; documents without an id come first."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
     index = np.zeros(-(-len(ids) // BLOCK_IDS), _INDEX)
     planes, offset = [], 0
@@ -40,15 +45,15 @@ def pack(doc_ids: list[int], counts: list[int], ids: np.ndarray) -> bytes:
         index[k] = (offset, len(block), tuple(map(len, packed)))
         planes += packed
         offset += sum(map(len, packed))
-    head = _HEAD.pack(MAGIC, len(doc_ids), len(ids), len(index))
+    head = _HEAD.pack(MAGIC, len(doc_ids), doc_ids.count(None), len(ids), len(index))
     return b"".join(
-        [head, np.array(doc_ids, "<i8").tobytes(), np.array(counts, "<u8").tobytes(), index.tobytes(), *planes]
+        [head, np.array([i or 0 for i in doc_ids], "<i8").tobytes(), np.array(counts, "<u8").tobytes(), index.tobytes(), *planes]
     )
 
 
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, counts and ids of a container."""
-    magic, n_docs, n_ids, n_blocks = _HEAD.unpack_from(data)
+def unpack(data: bytes) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """doc_ids, how many of the first are null, counts and ids of a container."""
+    magic, n_docs, n_null, n_ids, n_blocks = _HEAD.unpack_from(data)
     if magic != MAGIC:
         raise ValueError("not a container of token ids")
     at = _HEAD.size
@@ -65,12 +70,14 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             start += length
         ids[done : done + entry["ids"]] = np.ascontiguousarray(rows.T).view("<u4").ravel()
         done += int(entry["ids"])
-    return doc_ids, counts, ids
+    return doc_ids, n_null, counts, ids
 
 
 #: Words whose ids a worker remembers; a full memo is emptied.
 MEMO = 800_000
-_encoders: dict[str, tuple] = {}
+#: Bytes of a word that two 64-bit numbers hold; longer words are looked up one by one.
+PACKED = 16
+_encoders: dict[str, WordEncoder] = {}
 
 
 def separator(tokenizer) -> tuple[str, int] | None:
@@ -84,99 +91,179 @@ def separator(tokenizer) -> tuple[str, int] | None:
 def encode_words(tokenizer, mark: tuple[str, int] | None, words: list[bytes]) -> list[bytes]:
     """The ids of each word, by one call for all words with a special token between them."""
     if mark is None or any(mark[0].encode() in w for w in words):
-        found = tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        found = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
-    joined = mark[0].join(b"\n".join(words).decode().split("\n"))
+    joined = mark[0].join(b"\n".join(words).decode("utf-8", "replace").split("\n"))
     ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
     data, cuts = ids.tobytes(), (np.flatnonzero(ids == mark[1]) * 4).tolist()
     return [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)]
 
 
-def encoder(path: str):
-    """A function from texts to their ids as bytes (u32), by the tokenizers library.
-
-    The tokenizer drops white space and never merges across it, so each run without ASCII white space is encoded once
-    and remembered: the library sees every distinct run, the text is the runs' ids in order."""
-    if path not in _encoders:
+class Texts:
+    """The words of an Arrow column of texts without nulls: runs of bytes without ASCII white space."""
+
+    def __init__(self, column: pa.Array):
+        column = column.cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = column.buffers()[2]
+        self.data = memoryview(data)[offsets[0] : offsets[-1]] if data is not None else memoryview(b"")
+        buf = np.frombuffer(self.data, np.uint8)
+        edges = offsets - offsets[0]
+        word = ~SPACE[buf]
+        first, last = word.copy(), word.copy()
+        first[1:] &= ~word[:-1]
+        last[:-1] &= ~word[1:]
+        inner = edges[(edges > 0) & (edges < len(buf))]  # a word ends where its text ends
+        first[inner], last[inner - 1] = word[inner], word[inner - 1]
+        self.start, self.size = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.size -= self.start
+        #: words of all texts before each text, and of all
+        self.before = np.searchsorted(self.start, edges)
+        self.padded = np.concatenate([buf, np.zeros(PACKED, np.uint8)])
+
+    def packed(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first 8 bytes of each word and the next 8, as numbers; 0 stands for bytes after its end."""
+        at8 = np.lib.stride_tricks.as_strided(self.padded, (len(self.padded) - 7, 8), (1, 1))
+        left = np.minimum(self.size, 8)
+        right = np.clip(self.size - 8, 0, 8)
+        low = at8[self.start].view("<u8").ravel() & _LEAST[left]
+        high = at8[self.start + left].view("<u8").ravel() & _LEAST[right]
+        return low, high
+
+    def word(self, i: int) -> bytes:
+        at = int(self.start[i])
+        return bytes(self.data[at : at + int(self.size[i])])
+
+
+#: Masks of the first k bytes of a number.
+_LEAST = np.array([(1 << (8 * k)) - 1 for k in range(9)], "<u8")
+
+
+class WordEncoder:
+    """Encodes texts by the tokenizers library, each distinct word once.
+
+    The tokenizer drops white space and never merges across it, so the ids of a text are its words' ids in order."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
-        tokenizer = Tokenizer.from_file(path)
-        _encoders[path] = tokenizer, separator(tokenizer), {}
-    tokenizer, mark, memo = _encoders[path]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        new = list({w for words in split for w in words if w not in memo})
+        self.tokenizer = Tokenizer.from_file(path)
+        self.mark = separator(self.tokenizer)
+        self.memo: dict[bytes, bytes] = {}
+
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        memo = self.memo
+        new = [w for w in words if w not in memo]
         if len(memo) + len(new) > MEMO:
             memo.clear()
-            new = list({w for words in split for w in words})
+            new = words
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
-            memo.update(zip(some, encode_words(tokenizer, mark, some), strict=True))
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
-
-    return encode
+            memo.update(zip(some, encode_words(self.tokenizer, self.mark, some), strict=True))
+        return [memo[w] for w in words]
+
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with end_id after it, and their number for each text."""
+        texts = Texts(column)
+        low, high = texts.packed()
+        short = texts.size <= PACKED
+        # equal numbers and sizes are equal words; of a word without a rival its own number tells it apart
+        name = mix(low ^ mix(high ^ mix(texts.size.astype(np.uint64))))
+        _, first, kind = np.unique(name, return_index=True, return_inverse=True)
+        alike = short & (low == low[first[kind]]) & (high == high[first[kind]]) & (texts.size == texts.size[first[kind]])
+        words = [texts.word(i) for i in first.tolist()]
+        place: dict[bytes, int] = {}
+        rest = np.flatnonzero(~alike)  # long words, and those whose number another word has too
+        for i in rest.tolist():
+            kind[i] = len(words) + place.setdefault(texts.word(i), len(place))
+        words += place
+        known = self.ids_of(words) if words else []
+        end = struct.pack("<I", end_id)
+        pool = np.frombuffer(b"".join([*known, end]), "<u4")
+        size = np.array([len(x) // 4 for x in known] + [1], np.int64)
+        order = np.insert(kind, texts.before[1:], len(words))  # the end follows each text's words
+        sizes = size[order]
+        ends = np.cumsum(sizes)
+        where = np.repeat((np.cumsum(size) - size)[order] - (ends - sizes), sizes)
+        last = ends[texts.before[1:] + np.arange(len(column))]
+        return pool[where + np.arange(len(where))], np.diff(last, prepend=0)
+
+
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this worker process, kept for later tasks."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, partitions: int | None = None) -> None:
     """Encodes every whole text (null: empty), appends end_id to each and writes the containers at `path`.
 
-    Documents are dealt out by ranges of doc_id and sorted inside, so containers are in ascending doc_id order (null ids
-    first, as 0 tokens more or less: they are written with the id -1). Repeated rows are written each."""
+    Documents are dealt out by ranges of doc_id and sorted inside, so containers are in ascending doc_id order, null ids
+    first and read back as null. Repeated rows are written each, an empty table gives no container, other columns play no
+    part. There are as many ranges as shuffle partitions, more where a range would hold over RANGE_BYTES of text."""
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path), struct.pack("<I", end_id)
+        words = encoder(tokenizer_path)
         doc_ids, counts, parts, total, seq, shard = [], [], [], 0, 0, 0
-        fields = ["shard", "seq", "first_doc", "n_docs", "n_ids", "data"]
+        fields = ["shard", "seq", "n_ids", "data"]
 
         def close() -> pa.RecordBatch:
-            data = pack(doc_ids, counts, np.frombuffer(b"".join(parts), "<u4"))
-            row = [shard, seq, doc_ids[0], len(doc_ids), total, data]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+            row = [shard, seq, total, pack(doc_ids, counts, np.concatenate(parts))]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=fields)
 
         for batch in batches:
-            ids, texts, shards = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            for at in range(0, len(ids), 64):
-                shard = shards[at].as_py()
-                for i, data in zip(ids[at : at + 64], encode([t or "" for t in texts[at : at + 64]]), strict=True):
-                    doc_ids.append(-1 if i is None else i)
-                    counts.append(len(data) // 4 + 1)
-                    parts += (data, end)
-                    total += counts[-1]
-                    if total >= CONTAINER_IDS:
-                        yield close()
-                        doc_ids, counts, parts, total, seq = [], [], [], 0, seq + 1
+            shard = batch.column(2)[0].as_py() if batch.num_rows else shard
+            sizes = pc.binary_length(batch.column(1)).to_pylist()
+            for some in blocks(sizes, sizes):
+                own = batch.slice(some[0], len(some))
+                ids, n = words.encode(own.column(1), end_id)
+                doc_ids += own.column(0).to_pylist()
+                counts += n.tolist()
+                parts.append(ids)
+                total += len(ids)
+                if total >= CONTAINER_IDS:
+                    yield close()
+                    doc_ids, counts, parts, total, seq = [], [], [], 0, seq + 1
         if doc_ids:
             yield close()
 
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    if partitions is None:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"] or 0
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     dealt = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange(n, "doc_id")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+        .repartitionByRange(partitions, "doc_id")
         .sortWithinPartitions("doc_id")
         .withColumn("shard", F.spark_partition_id())
     )
-    dealt.mapInArrow(
-        run, "shard int, seq int, first_doc long, n_docs int, n_ids long, data binary"
-    ).write.option("compression", "none").parquet(path)
+    containers = dealt.mapInArrow(run, "shard int, seq int, n_ids long, data binary")
+    containers.write.option("compression", "none").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (and ids as u32 bytes, with_ids) of each document in the containers."""
+    """doc_id, start, n_tokens, ids_crc32 (and ids as u32 bytes, with_ids) of each document in the containers.
+
+    `start` counts the ids of all documents before it, in the order of the containers; documents without an id have a
+    null doc_id and come first. Without containers (of an empty table) there are no rows."""
     out = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in out.split(", ")]
         for batch in batches:
             for base, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                doc_ids, counts, ids = unpack(data.as_py())
+                doc_ids, n_null, counts, ids = unpack(data.as_py())
                 ends = np.cumsum(counts)
                 own = [ids[e - c : e].tobytes() for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
-                columns = [doc_ids, base + ends - counts, counts, np.array([zlib.crc32(x) for x in own], np.int64)]
-                arrays = [pa.array(c, pa.int64()) for c in columns] + [pa.array(own, pa.binary())] * with_ids
+                columns = [base + ends - counts, counts, np.array([zlib.crc32(x) for x in own], np.int64)]
+                arrays = [pa.array(doc_ids, pa.int64(), mask=np.arange(len(doc_ids)) < n_null)]
+                arrays += [pa.array(c, pa.int64()) for c in columns] + [pa.array(own, pa.binary())] * with_ids
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     files = spark.read.parquet(path)
@@ -186,8 +273,6 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     for shard, n in sorted(shards.items()):
         bases.append((shard, total))
         total += n
-    from pyspark.sql import Window
-
     before = Window.partitionBy("shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     seqs = files.select("shard", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("inside"))
     starts = seqs.join(F.broadcast(spark.createDataFrame(bases, "shard int, base long")), "shard")

@@ -102,17 +102,25 @@ def test_bpe(docs):
 
 
 def test_token_files(spark, docs, tmp_path):
-    some = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    token_files.write_ids(some, P.path("word_bpe_49k.json"), 2, str(tmp_path / "ids"), partitions=3)
     tokenizer, at, expected = Tokenizer.from_file(P.path("word_bpe_49k.json")), 0, []
-    for i, t in enumerate(TEXTS):
-        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
-        expected.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
-        at += len(ids)
-    got = token_files.read_ids(spark, str(tmp_path / "ids")).collect()
-    assert sorted(tuple(r) for r in got) == expected
+    texts = ["Straße\u00a0naïve\u2003x", "a" * 40 + " <|endoftext|>b\0c " + "z" * 16 + " " + "z" * 17, "日本語のテキスト " * 3]
+    rows = [*ROWS, (-1, "minus one"), *((1000 + i, t) for i, t in enumerate(texts)), (2000, "long word " * 120_000)]
+    extra = spark.createDataFrame([(i, t, "k", 1, "s") for i, t in rows[len(ROWS) :]], docs.schema)
+    token_files.write_ids(docs.unionByName(extra), P.path("word_bpe_49k.json"), 2, str(tmp_path / "ids"), partitions=3)
+    found = token_files.read_ids(spark, str(tmp_path / "ids"), with_ids=True).orderBy("start").collect()
+    wanted = collections.Counter()
+    for i, t in rows:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
+        wanted[i, len(ids) // 4, zlib.crc32(ids), ids] += 1
+    assert collections.Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"], bytes(r["ids"])) for r in found) == wanted
+    assert [r["doc_id"] for r in found] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+    for r in found:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    token_files.write_ids(docs.limit(0), P.path("word_bpe_49k.json"), 2, str(tmp_path / "none"))
+    assert token_files.read_ids(spark, str(tmp_path / "none")).count() == 0
     ids = np.arange(200_000, dtype="<u4")
-    assert (token_files.unpack(token_files.pack([1], [200_000], ids))[2] == ids).all()
+    assert (token_files.unpack(token_files.pack([1], [200_000], ids))[3] == ids).all()
 
 
 def test_secrets(spark):
