@@ -73,8 +73,10 @@ def unpack(data: bytes) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
     return doc_ids, n_null, counts, ids
 
 
-#: Words whose ids a worker remembers; a full memo is emptied.
-MEMO = 800_000
+#: Words whose ids a worker remembers (about 100 MB); a full memo is emptied.
+MEMO = 1_500_000
+#: Bytes of text whose words are looked up at once.
+LOOKUP_BYTES = 2_000_000
 #: Bytes of a word that two 64-bit numbers hold; longer words are looked up one by one.
 PACKED = 16
 _encoders: dict[str, WordEncoder] = {}
@@ -139,6 +141,47 @@ class Texts:
 _LEAST = np.array([(1 << (8 * k)) - 1 for k in range(9)], "<u8")
 
 
+class Memo:
+    """Short words, as (first 8 bytes, next 8, size), and where their ids lie in a pool: a hash table in arrays."""
+
+    def __init__(self, entries: int):
+        self.slots = np.zeros(1 << (2 * entries).bit_length(), np.int32)  # number of the entry, 0 where free
+        self.words = np.zeros((entries + 1, 3), np.uint64)
+        self.place = np.zeros((entries + 1, 2), np.int64)  # start and number of ids in the pool
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.n = self.used = 0
+
+    def find(self, words: np.ndarray, name: np.ndarray) -> np.ndarray:
+        """The entry of each word, 0 for a new one."""
+        mask = np.uint64(len(self.slots) - 1)
+        at, found, open_ = (name & mask).astype(np.int64), np.zeros(len(words), np.int64), np.arange(len(words))
+        while len(open_):
+            entry = self.slots[at[open_]]
+            same = (entry > 0) & (self.words[entry] == words[open_]).all(axis=1)
+            found[open_[same]] = entry[same]
+            open_ = open_[(entry > 0) & ~same]
+            at[open_] = (at[open_] + 1) & int(mask)
+        return found
+
+    def add(self, words: np.ndarray, name: np.ndarray, ids: list[bytes]) -> None:
+        """Distinct new words and their ids."""
+        some = np.frombuffer(b"".join(ids), "<u4")
+        while self.used + len(some) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(some)] = some
+        own = np.arange(self.n + 1, self.n + 1 + len(words))
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        self.words[own], self.place[own] = words, np.stack([self.used + np.cumsum(sizes) - sizes, sizes], axis=1)
+        self.n, self.used = self.n + len(words), self.used + len(some)
+        mask = np.uint64(len(self.slots) - 1)
+        at, open_ = (name & mask).astype(np.int64), np.arange(len(words))
+        while len(open_):
+            free = open_[self.slots[at[open_]] == 0]
+            self.slots[at[free]] = own[free]  # of several for a slot the last gets it
+            open_ = open_[self.slots[at[open_]] != own[open_]]
+            at[open_] = (at[open_] + 1) & int(mask)
+
+
 class WordEncoder:
     """Encodes texts by the tokenizers library, each distinct word once.
 
@@ -150,43 +193,48 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = separator(self.tokenizer)
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = Memo(MEMO)
 
     def ids_of(self, words: list[bytes]) -> list[bytes]:
-        """The ids of distinct words."""
-        memo = self.memo
-        new = [w for w in words if w not in memo]
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = words
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            memo.update(zip(some, encode_words(self.tokenizer, self.mark, some), strict=True))
-        return [memo[w] for w in words]
+        found = []
+        for at in range(0, len(words), 256):
+            found += encode_words(self.tokenizer, self.mark, words[at : at + 256])
+        return found
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with end_id after it, and their number for each text."""
         texts = Texts(column)
         low, high = texts.packed()
-        short = texts.size <= PACKED
-        # equal numbers and sizes are equal words; of a word without a rival its own number tells it apart
-        name = mix(low ^ mix(high ^ mix(texts.size.astype(np.uint64))))
+        size = texts.size.astype(np.uint64)
+        name = mix(low ^ mix(high ^ mix(size)))
         _, first, kind = np.unique(name, return_index=True, return_inverse=True)
-        alike = short & (low == low[first[kind]]) & (high == high[first[kind]]) & (texts.size == texts.size[first[kind]])
-        words = [texts.word(i) for i in first.tolist()]
-        place: dict[bytes, int] = {}
-        rest = np.flatnonzero(~alike)  # long words, and those whose number another word has too
-        for i in rest.tolist():
-            kind[i] = len(words) + place.setdefault(texts.word(i), len(place))
-        words += place
-        known = self.ids_of(words) if words else []
-        end = struct.pack("<I", end_id)
-        pool = np.frombuffer(b"".join([*known, end]), "<u4")
-        size = np.array([len(x) // 4 for x in known] + [1], np.int64)
-        order = np.insert(kind, texts.before[1:], len(words))  # the end follows each text's words
-        sizes = size[order]
+        # equal numbers and sizes are equal words, if short; the others are told apart by their bytes
+        alike = (texts.size <= PACKED) & (low == low[first[kind]]) & (high == high[first[kind]]) & (size == size[first[kind]])
+        short = alike[first]
+        first, kind = first[short], (np.cumsum(short) - 1)[kind]
+        name = name[first]
+        words = np.stack([low[first], high[first], size[first]], axis=1)
+        memo = self.memo
+        entry = memo.find(words, name)
+        if memo.n + (entry == 0).sum() > MEMO:
+            self.memo = memo = Memo(max(MEMO, len(words)))
+            entry = memo.find(words, name)
+        new = np.flatnonzero(entry == 0)
+        memo.add(words[new], name[new], self.ids_of([texts.word(i) for i in first[new].tolist()]))
+        entry[new] = np.arange(memo.n - len(new) + 1, memo.n + 1)
+        rest: dict[bytes, int] = {}
+        for i in np.flatnonzero(~alike).tolist():
+            kind[i] = len(first) + rest.setdefault(texts.word(i), len(rest))
+        others = self.ids_of(list(rest))
+        own = np.frombuffer(b"".join(others) + struct.pack("<I", end_id), "<u4")
+        sizes = np.array([len(x) // 4 for x in others] + [1], np.int64)
+        start = np.concatenate([memo.place[entry, 0], memo.used + np.cumsum(sizes) - sizes])
+        sizes = np.concatenate([memo.place[entry, 1], sizes])
+        pool = np.concatenate([memo.pool[: memo.used], own])
+        order = np.insert(kind, texts.before[1:], len(sizes) - 1)  # the end follows each text's words
+        sizes = sizes[order]
         ends = np.cumsum(sizes)
-        where = np.repeat((np.cumsum(size) - size)[order] - (ends - sizes), sizes)
+        where = np.repeat(start[order] - (ends - sizes), sizes)
         last = ends[texts.before[1:] + np.arange(len(column))]
         return pool[where + np.arange(len(where))], np.diff(last, prepend=0)
 
@@ -219,7 +267,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, part
         for batch in batches:
             shard = batch.column(2)[0].as_py() if batch.num_rows else shard
             sizes = pc.binary_length(batch.column(1)).to_pylist()
-            for some in blocks(sizes, sizes):
+            for some in blocks(sizes, sizes, LOOKUP_BYTES):
                 own = batch.slice(some[0], len(some))
                 ids, n = words.encode(own.column(1), end_id)
                 doc_ids += own.column(0).to_pylist()
