@@ -2,7 +2,8 @@
 
 A window is a run of `width` symbols of one document. Of the runs of `gram` symbols inside a window, the one with the
 least hash is its anchor (the leftmost of equal ones); equal windows have equal anchors at equal places. Consecutive
-windows with the same anchor form a segment, which travels as one string.
+windows with the same anchor form a segment, which travels as one string. Longer windows may be judged in the same pass:
+their anchor is that of the window they begin with, and strings reach as far as the longest of them.
 
 1. `anchors`: each document's anchor hashes. An anchor that occurs once can't lie in a repeated window.
 2. `flag`: counts anchors over all documents and gives each document its repeated anchors. Anchors that hold over a
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import blocks, mix, rolling, row_key, stage
+from tagloom.llm.common import blocks, bound_batches, mix, rolling, row_key, stage
 
 #: Windows of a document looked at at once; a longer document is cut into such parts, which overlap by width - 1.
 PART = 1 << 20
@@ -43,6 +44,8 @@ class Kind:
     width: int
     gram: int
     symbols: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, Callable[[int, int], bytes]]]
+    longest: int = 0
+    """Symbols of the longest windows that are judged, if longer than width."""
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -174,7 +177,7 @@ def flag(found: DataFrame) -> tuple[DataFrame, list[int]]:
 
 
 def segments(flagged: DataFrame, kind: Kind, hot: list[int]) -> DataFrame:
-    """The segments of repeated anchors of rows (key, text, flags): anchor key, place of the anchor, string, places.
+    """The segments of repeated anchors of rows (key, text, flags): anchor key, place of the anchor, windows, string, places.
 
     `places` are packed pairs of row key and first window. Equal segments of a batch are one row."""
     hot_keys = np.sort(np.array(hot, np.int64).view(np.uint64))
@@ -202,54 +205,56 @@ def segments(flagged: DataFrame, kind: Kind, hot: list[int]) -> DataFrame:
                     inside = (at >= 0) & (other.start < tails[np.maximum(at, 0)])
                     parts.append((other, inside))
                 first = np.cumsum(counts) - counts
-                gathered: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
+                limit, reach = np.cumsum(counts).tolist(), max(kind.width, kind.longest)
+                gathered: dict[tuple[int, int, int, bytes], list[tuple[int, int]]] = {}
                 for seg, take in parts:
                     for t, start, n, anchor, key in zip(
                         *(getattr(seg, f)[take].tolist() for f in ("text", "start", "n", "anchor", "key")), strict=True
                     ):
                         place = (int(keys[some[t]]), start - int(first[t]))
-                        whole = (key, anchor - start, string(start, start + n + kind.width - 1))
+                        whole = (key, anchor - start, n, string(start, min(start + n + reach - 1, limit[t])))
                         gathered.setdefault(whole, []).append(place)
                 if not gathered:
                     continue
-                anchor_keys, at, strings = zip(*gathered, strict=True)
+                anchor_keys, at, windows, strings = zip(*gathered, strict=True)
                 places = [np.array(p, _PLACE).tobytes() for p in gathered.values()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.array(anchor_keys, np.uint64).view(np.int64)),
                         pa.array(at, pa.int32()),
+                        pa.array(windows, pa.int32()),
                         pa.array(strings, pa.binary()),
                         pa.array(places, pa.binary()),
                     ],
-                    names=["anchor", "at", "segment", "places"],
+                    names=["anchor", "at", "n", "segment", "places"],
                 )
 
     return flagged.select("key", "text", "flags").mapInArrow(
-        run, "anchor long, at int, segment binary, places binary"
+        run, "anchor long, at int, n int, segment binary, places binary"
     )
 
 
-#: A judge gets groups: for each, the distinct segments as (anchor place, string) and how often each occurs. It returns,
-#: for each group, for each segment its runs of repeated windows as pairs [first, end).
-Judge = Callable[[list[tuple[list[tuple[int, bytes]], list[int]]]], list[list[list[tuple[int, int]]]]]
+#: A judge gets groups: for each, the distinct segments as (anchor place, windows, string) and how often each occurs. It
+#: returns, for each group, for each segment its runs of repeated windows as (first, end, width of the windows).
+Judge = Callable[[list[tuple[list[tuple[int, int, bytes]], list[int]]]], list[list[list[tuple[int, int, int]]]]]
 #: Bytes of segments that a judge gets at once; a larger group is alone.
 GROUP_BYTES = 4 << 20
 
 
 def repeated_runs(sent: DataFrame, judge: Judge) -> DataFrame:
-    """key, first, last: runs [first, last) of repeated windows."""
+    """key, first, last, width: runs [first, last) of repeated windows."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, int]]:
         current, group, size = None, {}, 0
         for batch in batches:
-            for anchor, at, segment, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for anchor, at, n, segment, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if anchor != current:
                     if group:
                         yield group, size
                     current, group, size = anchor, {}, 0
-                known = group.get((at, segment))
+                known = group.get((at, n, segment))
                 if known is None:
-                    group[at, segment] = [places]
+                    group[at, n, segment] = [places]
                     size += len(segment)
                 else:
                     known.append(places)
@@ -258,17 +263,20 @@ def repeated_runs(sent: DataFrame, judge: Judge) -> DataFrame:
 
     def judged(some: list[dict]) -> pa.RecordBatch:
         asked = [(list(g), [sum(map(len, p)) // _PLACE.itemsize for p in g.values()]) for g in some]
-        keys, firsts, lasts = [], [], []
+        keys, firsts, lasts, widths = [], [], [], []
         for group, answer in zip(some, judge(asked), strict=True):
             for places, runs in zip(group.values(), answer, strict=True):
                 if runs:
                     spots = np.frombuffer(b"".join(places), _PLACE)
-                    for a, b in runs:
+                    for a, b, width in runs:
+                        widths.append(np.full(len(spots), width))
                         keys.append(spots["key"])
                         firsts.append(spots["start"] + a)
                         lasts.append(spots["start"] + b)
-        arrays = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (keys, firsts, lasts)]
-        return pa.RecordBatch.from_arrays(arrays, names=["key", "first", "last"])
+        columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, firsts, lasts, widths)]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=["key", "first", "last", "width"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, total = [], 0
@@ -285,12 +293,13 @@ def repeated_runs(sent: DataFrame, judge: Judge) -> DataFrame:
     return (
         sent.repartition(n, "anchor")
         .sortWithinPartitions("anchor")
-        .mapInArrow(run, "key long, first long, last long")
+        .mapInArrow(run, "key long, first long, last long, width int")
     )
 
 
 def rows_with_runs(docs: DataFrame, kind: Kind, judge: Judge) -> DataFrame:
-    """doc_id, text and the runs of repeated windows (array of first, last; null where there are none) of each row."""
+    """doc_id, text and the runs of repeated windows (array of first, last, width; null where there are none) of each row."""
+    bound_batches(docs.sparkSession)
     rows = keyed(docs)
     found = stage(anchors(rows, kind), "segment-anchors")
     flags, hot = flag(found)
@@ -298,5 +307,5 @@ def rows_with_runs(docs: DataFrame, kind: Kind, judge: Judge) -> DataFrame:
     dealt = rows.repartition(n, "key")  # read twice, shuffled once
     flagged = dealt.join(stage(flags, "flags"), "key").select("key", "doc_id", "text", "flags")
     runs = repeated_runs(segments(flagged, kind, hot), judge)
-    own = runs.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("runs"))
+    own = runs.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("first", "last", "width"))).alias("runs"))
     return dealt.join(own, "key", "left").select("doc_id", "text", "runs")

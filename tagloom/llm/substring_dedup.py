@@ -47,11 +47,10 @@ def count_windows(width: int):
         answers = []
         for strings, counts in groups:
             if len(strings) == 1:
-                n = strings[0][1].count(b" ") + 2 - width
-                answers.append([[(0, n)] if counts[0] > 1 else []])
+                answers.append([[(0, strings[0][1], width)] if counts[0] > 1 else []])
                 continue
             windows = []
-            for k, (_, packed) in enumerate(strings):
+            for k, (_, _, packed) in enumerate(strings):
                 words = packed.split(b" ")
                 at, head, tail = 0, [], []
                 for word in words:
@@ -71,7 +70,7 @@ def count_windows(width: int):
                     for _, k, place in windows[i:j]:
                         repeated[k].append(place)
                 i = j
-            answers.append([runs_of(sorted(places)) for places in repeated])
+            answers.append([[(a, b, width) for a, b in runs_of(sorted(places))] for places in repeated])
         return answers
 
     return judge
@@ -88,11 +87,12 @@ def runs_of(places: list[int]) -> list[tuple[int, int]]:
 
 
 def covered(n: int, runs: list[dict] | None, width: int) -> np.ndarray:
-    """Which of n symbols lie in a window of the runs."""
+    """Which of n symbols lie in a window of the runs of this width."""
     edges = np.zeros(n + 1, np.int64)
     for run in runs or ():
-        edges[run["first"]] += 1
-        edges[run["last"] + width - 1] -= 1
+        if run["width"] == width:
+            edges[run["first"]] += 1
+            edges[run["last"] + width - 1] -= 1
     return np.cumsum(edges[:-1]) > 0
 
 

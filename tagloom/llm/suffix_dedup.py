@@ -7,7 +7,8 @@ that neighbours share are compared afterwards, so that a collision of hashes can
 `repeats` brings together the segments with a common anchor. Equal windows have the anchor at the same place, so a
 window with j bytes before the anchor is known by its j bytes to the left and its width - j bytes to the right: by its
 place among the suffixes from the anchor on and among the reversed prefixes. Both orders and the lengths that neighbours
-share give the classes of equal windows for every j."""
+share give the classes of equal windows for every j, and for windows of several widths: those that are removed, and
+shorter ones that only mark passages."""
 
 from __future__ import annotations
 
@@ -23,6 +24,8 @@ from tagloom.llm.repeats import Kind, rows_with_runs
 from tagloom.llm.substring_dedup import covered
 
 WIDTH = 400
+#: Bytes of a passage of 50 words, at six a word; passages are marked, not removed.
+PASSAGE = 300
 GRAM = 48
 
 
@@ -148,8 +151,8 @@ def classes(width: int, at, n, counts, right, right_shared, left, left_shared) -
     return runs
 
 
-def sort_suffixes(width: int):
-    """A judge that finds repeated windows by the suffix sort."""
+def sort_suffixes(widths: list[int]):
+    """A judge that finds repeated windows of each width by one suffix sort."""
 
     def judge(groups):
         answers: list = [None] * len(groups)
@@ -158,11 +161,14 @@ def sort_suffixes(width: int):
             if len(segments) > 1:
                 several.append(g)
             else:
-                answers[g] = [[(0, len(segments[0][1]) - width + 1)] if counts[0] > 1 else []]
+                _, n, string = segments[0]
+                ends = [(min(n, len(string) - w + 1), w) for w in widths]
+                answers[g] = [[(0, end, w) for end, w in ends if end > 0] if counts[0] > 1 else []]
         if not several:
             return answers
-        strings = [s for g in several for _, s in groups[g][0]]
-        at = np.array([a for g in several for a, _ in groups[g][0]], np.int64)
+        strings = [s for g in several for _, _, s in groups[g][0]]
+        at = np.array([a for g in several for a, _, _ in groups[g][0]], np.int64)
+        windows = np.array([n for g in several for _, n, _ in groups[g][0]], np.int64)
         counts = np.array([n for g in several for n in groups[g][1]], np.int64)
         sizes = np.array([len(groups[g][0]) for g in several], np.int64)
         length = np.array([len(s) for s in strings], np.int64)
@@ -178,31 +184,41 @@ def sort_suffixes(width: int):
             own = slice(first, first + c)
             r, rs, le, ls = right[own] - first, right_shared[own], left[own] - first, left_shared[own]
             if not right_good[own].all():
-                r, rs = map(np.array, plain_order([s[a:] for a, s in groups[g][0]]))
+                r, rs = map(np.array, plain_order([s[a:] for a, _, s in groups[g][0]]))
             if not left_good[own].all():
-                le, ls = map(np.array, plain_order([s[:a][::-1] for a, s in groups[g][0]]))
-            n = length[own] - width + 1
-            if c == 2 and counts[own].max() == 1:
-                answers[g] = []
-                for a, m in zip(at[own].tolist(), n.tolist(), strict=True):
-                    x, y = max(0, a - int(ls[1])), min(m, a - width + int(rs[1]) + 1)
-                    answers[g].append([(x, y)] if x < y else [])
-            else:
-                answers[g] = classes(width, at[own], n, counts[own], r, rs, le, ls)
+                le, ls = map(np.array, plain_order([s[:a][::-1] for a, _, s in groups[g][0]]))
+            answers[g] = [[] for _ in range(c)]
+            for w in widths:
+                n = np.minimum(windows[own], length[own] - w + 1)
+                if c == 2 and counts[own].max() == 1:
+                    # the bytes before the anchor of the windows that both have and that agree
+                    high = min(int(ls[1]), int(at[own].min()))
+                    low = max(w - int(rs[1]), int((at[own] - n).max()) + 1)
+                    found = [[(a - high, a - low + 1)] if low <= high else [] for a in at[own].tolist()]
+                elif (n > 0).any():
+                    found = classes(w, at[own], n, counts[own], r, rs, le, ls)
+                else:
+                    continue
+                for all_, runs in zip(answers[g], found, strict=True):
+                    all_ += [(a, b, w) for a, b in runs]
             first += c
         return answers
 
     return judge
 
 
-def drop_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_bytes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes, with_bytes), a row for each row of docs.
+def drop_repeated_bytes(
+    docs: DataFrame, width: int = WIDTH, gram: int = GRAM, passage: int = PASSAGE, with_bytes: bool = False
+) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage (and the kept bytes, with_bytes), a row for each row.
 
     Texts are UTF-8 bytes. Each byte goes that is covered by a string of `width` bytes which also starts anywhere else,
-    in the same document or in a repeated row too; no string crosses documents. A null text counts as empty: no bytes and
+    in the same document or in a repeated row too; no string crosses documents. n_passage is the number of bytes that such
+    strings of `passage` bytes (no longer than `width`) cover: repeated passages that may be too short to go. A null text counts as empty: no bytes and
     the digest of none. An empty table gives an empty result; other columns play no part."""
-    kind = Kind(width, gram, byte_symbols)
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
+    kind = Kind(passage, gram, byte_symbols, longest=width)
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long"
+    out += ", kept binary" * with_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in out.split(", ")]
@@ -214,13 +230,14 @@ def drop_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, w
                     gone = covered(len(data), runs.as_py(), width)
                     spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                     kept, removed = data[~gone].tobytes(), int(gone.sum())
+                    marked = int(covered(len(data), runs.as_py(), passage).sum())
                 else:
-                    kept, removed, spans = data.tobytes(), 0, 0
-                row = (len(data), removed, spans, hashlib.sha256(kept).hexdigest())
+                    kept, removed, spans, marked = data.tobytes(), 0, 0, 0
+                row = (len(data), removed, spans, hashlib.sha256(kept).hexdigest(), marked)
                 rows.append((*row, kept) if with_bytes else row)
             columns = list(zip(*rows, strict=True)) or [()] * (len(names) - 1)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: len(names) - 1]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()][: len(names) - 1]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=names)
 
-    return rows_with_runs(docs, kind, sort_suffixes(width)).mapInArrow(run, out)
+    return rows_with_runs(docs, kind, sort_suffixes(sorted({width, passage}))).mapInArrow(run, out)

@@ -58,18 +58,23 @@ def order(rows):
 @pytest.mark.parametrize("share", [1000, 20])
 def test_repeats(docs, monkeypatch, share):
     monkeypatch.setattr(repeats, "HOT_SHARE", share)
-    for f, width, gram, cut, join in (
-        (drop_repeated_words, 10, 3, lambda t: (t or "").encode().split(), b" ".join),
-        (drop_repeated_bytes, 40, 8, lambda t: (t or "").encode(), bytes),
-    ):
-        symbols = [cut(t) for _, t in ROWS]
-        expected = [
-            (i, len(s), sum(g), hashlib.sha256(join([x for x, y in zip(s, g, strict=True) if not y])).hexdigest())
-            for (i, _), s, g in zip(ROWS, symbols, covered(symbols, width), strict=True)
-        ]
-        got = [(r["doc_id"], r[1], r["n_removed"], r["kept_sha256"]) for r in f(docs, width, gram).collect()]
-        assert order(got) == order(expected)
-        assert f(docs.limit(0), width, gram).count() == 0
+    words = [(t or "").encode().split() for _, t in ROWS]
+    data = [(t or "").encode() for _, t in ROWS]
+
+    def expected(symbols, width, join):
+        for (i, _), s, g in zip(ROWS, symbols, covered(symbols, width), strict=True):
+            kept = join([x for x, y in zip(s, g, strict=True) if not y])
+            yield i, len(s), sum(g), hashlib.sha256(kept).hexdigest()
+
+    got = drop_repeated_words(docs, 10, 3)
+    assert order((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == order(expected(words, 10, b" ".join))
+    marks = [n for _, _, n, _ in expected(data, 30, bytes)]
+    wanted = [(*row, n) for row, n in zip(expected(data, 40, bytes), marks, strict=True)]
+    got = drop_repeated_bytes(docs, 40, 8, 30)
+    assert order((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"], r["n_passage"]) for r in got.collect()) == order(wanted)
+    assert sum(r[2] < n for r, n in zip(wanted, marks, strict=True)) > 3
+    for empty in (drop_repeated_words(docs.limit(0), 10, 3), drop_repeated_bytes(docs.limit(0), 40, 8, 30)):
+        assert empty.count() == 0
 
 
 def test_exact(docs):
