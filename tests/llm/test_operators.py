@@ -90,6 +90,11 @@ def test_exact(docs):
         assert r["group_size"] == len(ids) and r["keep_id"] == max((i for i in ids if i is not None), default=None)
     kept = exact_dedup.drop_exact_copies(docs)
     assert kept.columns == docs.columns and kept.count() == len(groups)
+    clash = docs.selectExpr("*", "doc_id AS _row0_", "1 AS _row1_turn", "2 AS _sha_", "9 AS _turn_")
+    dropped = exact_dedup.drop_exact_copies(clash)
+    assert dropped.columns == clash.columns
+    assert all(r["_row0_"] == r["doc_id"] and r["_row1_turn"] == 1 and r["_sha_"] == 2 and r["_turn_"] == 9 for r in dropped.collect())
+    assert exact_dedup.drop_exact_copies(docs.limit(0)).count() == 0
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
 
 
@@ -128,23 +133,61 @@ def test_token_files(spark, docs, tmp_path):
     assert (token_files.unpack(token_files.pack([1], [200_000], ids))[3] == ids).all()
 
 
-def test_secrets(spark):
+def test_secrets(spark, docs):
     key = "AKIA" + "B" * 16
     text = f'é PASSWORD = "abc" token: abcdef1 {key} near client_id=me123 and https://h.example/x ' + "0f" * 12
     base = secrets.base_spans(text)
     assert [k for _, _, k in base] == ["assign", "access", "hex"] and text[base[1][0] : base[1][1]] == key
-    assert {k for _, _, k in secrets.linked_parts(base, secrets.weak_parts(text))} == {"id", "endpoint"}
-    assert secrets.linked_parts([], secrets.weak_parts("client_id=me123 alone")) == []
-    rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in secrets.find_secrets(rows).collect()}
-    assert got[2]["spans"] == got[3]["spans"] == "" and got[1]["n_access"] == 1
+    assert secrets.links_of(secrets.parts_of("client_id=me123 alone", [])) == []
+    rows = spark.createDataFrame([(1, text), (1, text), (2, None), (3, "")], "doc_id long, text string")
+    got = secrets.find_secrets(rows).collect()
+    assert len(got) == 4 and sum(r["n_access"] for r in got) == 2 and all(r["spans"] == "" for r in got if r["doc_id"] > 1)
+    kinds = {s.split(":")[0] for s in got[0]["spans"].split(",")}
+    assert kinds == {"assign", "access", "hex", "id", "endpoint", "link"}
+    assert f"access:{base[1][0]}:{base[1][1]}+assign" in got[0]["links"]
+    assert secrets.find_secrets(docs).count() == len(ROWS) and secrets.find_secrets(docs.limit(0)).count() == 0
+    assert secrets.find_secrets(docs.withColumn("spans", F.lit(1))).columns[-1] == "links"
+
+
+def test_secret_links():
+    """The interval join against all pairs, on texts of parts in random places."""
+    rng = random.Random(3)
+    makers = [
+        lambda: "AKIA" + "Q" * rng.choice([16, 20]),
+        lambda: f"client_id={'n' * rng.choice([3, 150])}",
+        lambda: "secret=" + "s" * rng.randint(6, 40),
+        lambda: "aB3" * rng.choice([11, 60, 1700]),
+        lambda: "https://h.example/" + "p" * rng.randint(0, 300),
+        lambda: "word " * rng.randint(1, 60),
+    ]
+    seen = 0
+    for _ in range(300):
+        text = " ".join(rng.choice(makers)() for _ in range(rng.randint(0, 14)))
+        parts = secrets.parts_of(text, secrets.base_spans(text))
+        pairs = {
+            (a, b)
+            for a in parts
+            for b in parts
+            if a[2] in ("access", "id") and b[2] in ("assign", "hex", "secret") and max(a[0] - b[1], b[0] - a[1]) <= secrets.SCOPE
+        }
+        links = secrets.links_of(parts)
+        assert {(a, b) for a, b, _ in links} == pairs and len(links) == len(pairs)
+        for a, b, place in links:
+            open_ = [p for p in parts if p[2] == "endpoint" and min(secrets.gap(p, a), secrets.gap(p, b)) <= secrets.SCOPE]
+            best = min((min(secrets.gap(p, a), secrets.gap(p, b)) for p in open_), default=None)
+            assert best == (place and min(secrets.gap(place, a), secrets.gap(place, b)))
+            seen += place is not None
+        base = ",".join(f"{k}:{s}:{e}" for s, e, k in secrets.base_spans(text))
+        *_, digest, spans, _ = secrets.scan(text)
+        assert digest == hashlib.sha256(base.encode()).hexdigest() and set(filter(None, base.split(","))) <= set(spans.split(","))
+    assert seen > 100
 
 
 def test_long_secrets():
     run, name, rest = "aB3" * 100, "n" * 150, "x" * 900
     text = f"{run}== login={name} s3://{rest} end"
-    got = secrets.linked_parts(secrets.base_spans(text), secrets.weak_parts(text))
-    assert [(text[s:e], k) for s, e, k in got] == [(f"{run}==", "secret"), (f"login={name}", "id"), (f"s3://{rest}", "endpoint")]
+    got = secrets.links_of(secrets.parts_of(text, secrets.base_spans(text)))
+    assert [[text[s:e] for s, e, _ in link] for link in got] == [[f"login={name}", f"{run}==", f"s3://{rest}"]]
     # many starts that lead nowhere: time in proportion to the text
     assert secrets.weak_parts("aB3" * 100_000 + "===") == [] and secrets.weak_parts("=" + "a+." * 100_000 + ":") == []
 
@@ -201,6 +244,11 @@ def test_decontaminate(spark):
     texts = [f"{fill} {' '.join(item)} {fill}", f"{fill} {' '.join(swapped)}", fill, None, " ".join(item[:9])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame([(5, " ".join(item)), (6, None), (7, "too short")], "item_id long, text string")
+    few = spark.createDataFrame([(1, "far too short"), (2, "Short, indeed!"), (3, None), (3, "so far too short too short")], "doc_id long, text string")
+    marks = {r["item_ids"][0] if r["item_ids"] else None for r in decontaminate.contamination(few, bench).collect()}
+    assert marks == {7, None} and decontaminate.drop_contaminated(few, bench).count() == 2
+    assert decontaminate.contamination(few.limit(0), bench).count() == 0
+    assert decontaminate.contamination(few.unionByName(few), bench).where("contaminated").count() == 4
     got = {r["doc_id"]: (r["contaminated"], r["item_ids"]) for r in decontaminate.contamination(docs, bench).collect()}
     assert got == {0: (True, [5]), 1: (True, [5]), 2: (False, []), 3: (False, []), 4: (False, [])}
     clash = decontaminate.drop_contaminated(docs.selectExpr("*", "1 AS _key_", "2 AS _leak_"), bench)
