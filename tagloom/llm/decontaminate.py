@@ -23,8 +23,6 @@ MASKS_12 = ("11111011", "110101111", "11101100011", "110000011111")
 #: Words of the overlap that must agree but for a sixth of them. Items with fewer words must agree as a whole, but for a
 #: sixth as well.
 OVERLAP = 13
-#: Items with fewer words can't be told from ordinary text and are left out.
-LEAST_WORDS = 5
 
 
 def masks_of(n: int) -> tuple[str, ...]:
@@ -32,18 +30,19 @@ def masks_of(n: int) -> tuple[str, ...]:
     if n >= 12:
         return MASKS if n >= OVERLAP else MASKS_12
     if n < 6:
-        return ("1" * n,)
+        return ("=" + "1" * n,)  # no word may differ: a seed apart from others, of which one place in a text is enough
     third = -(-n // 3)  # one substitution lies in the first third, in the last one, or between them
     return "1" * (n - third), "1" * third + "0" * (n - 2 * third) + "1" * third
 
 
 def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     """Hash of the words that the mask counts, at each place."""
+    exact, mask = mask.startswith("="), mask.lstrip("=")
     n = len(words) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     at = [i for i, c in enumerate(mask) if c == "1"]
-    total = np.full(n, len(mask) * 1000 + len(at), np.uint64)
+    total = np.full(n, len(mask) * 1000 + len(at) + 500 * exact, np.uint64)
     for i in at:
         total = (total ^ words[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
         total ^= total >> np.uint64(29)
@@ -74,7 +73,7 @@ def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
             keys, ids, texts = (c.to_pylist() for c in batch.columns)
             for key, i, text in zip(keys, ids, texts, strict=True):
                 words, _ = word_hashes([text or ""])
-                if len(words) < LEAST_WORDS:
+                if not len(words):
                     continue
                 found = [seeds(words, m) for m in masks_of(len(words))]
                 places = np.concatenate([np.arange(len(s)) for s in found]).astype(np.int32)
@@ -107,7 +106,9 @@ def candidates(docs: DataFrame, bits: np.ndarray, masks: list[str]) -> DataFrame
                 for mask in masks:
                     value = seeds(words, mask)
                     at = np.flatnonzero(in_filter(known, value))
-                    at = at[ends[text[at]] - at >= len(mask)]
+                    at = at[ends[text[at]] - at >= len(mask.lstrip("="))]
+                    if mask.startswith("="):  # the first place of each seed in a text
+                        at = at[np.sort(np.unique(mix(value[at]) ^ mix(text[at].astype(np.uint64) + np.uint64(1)), return_index=True)[1])]
                     owners.append(text[at])
                     places.append(at - (ends - counts)[text[at]])
                     values.append(value[at])
@@ -169,8 +170,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids (ascending), longest (words of the longest overlap), a row for each row.
 
-    Null texts count as empty and are clean; items of fewer than LEAST_WORDS words, and an empty benchmark, find nothing.
-    Repeated rows get the same result; a null item_id counts as an item but isn't listed."""
+    Null texts count as empty and are clean; items without words, and an empty benchmark, find nothing. An item of a few
+    words is found wherever these stand in a row, so a benchmark of single words marks most texts. Repeated rows get the same result; a null item_id counts as an item but isn't listed."""
     found = leaks(docs, benchmark).groupBy("key").agg(
         F.array_sort(F.collect_set("item_id")).alias("item_ids"),
         F.max(F.col("last") - F.col("first")).alias("longest"),
@@ -189,7 +190,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The clean rows of docs."""
+    """The clean rows of docs, with the columns of docs.
+
+    Rows with null texts and repeated clean rows stay, and of repeated rows with an overlap all go; an empty benchmark or
+    table changes nothing. Column names of docs may be any."""
     key = row_key(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = stage(leaks(docs, benchmark).select(F.col("key").alias("_leak_")).distinct(), "leaks")
     return docs.join(found, key == found["_leak_"], "left_anti")
