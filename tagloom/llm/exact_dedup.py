@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import ascii_lower, stage
@@ -13,7 +13,7 @@ KEY = ["digest", "check", "n_bytes"]
 def digest_runs(docs: DataFrame) -> DataFrame:
     """One row per document in sorted runs, a run for each input partition: digest, a second hash and the length.
 
-    The last two verify that equal digests are of equal texts. `row` tells repeated rows apart."""
+    Equality rests on SHA-256, a second 64-bit hash and the length; texts themselves aren't compared. `row` tells repeated rows apart."""
     text = ascii_lower(F.coalesce("text", F.lit("")))
     runs = docs.select("doc_id", text.alias("t")).select(
         "doc_id",
@@ -63,21 +63,23 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with the columns of docs."""
-    if not docs.columns:
-        return docs
-    runs = digest_runs(docs)
-    _, last = tree_merge(runs)
-    text = ascii_lower(F.coalesce("text", F.lit("")))
-    keep = last.select(F.col("best.doc_id").alias("_id"), F.lower(F.hex("digest")).alias("_sha"))
-    marked = docs.withColumn("_sha_", F.sha2(text, 256))
-    same = marked["doc_id"].eqNullSafe(keep["_id"]) & (marked["_sha_"] == keep["_sha"])
-    kept = marked.join(keep, same, "left_semi")
-    # repeated rows with the identifier that stays: one of them
-    from pyspark.sql import Window
-
-    turn = F.row_number().over(Window.partitionBy("doc_id", "_sha_").orderBy("doc_id"))
-    return kept.withColumn("_turn_", turn).where("_turn_ = 1").select(*docs.columns)
+    """The rows of docs that exact_dedup keeps, with the columns of docs, whatever their names.
+
+    A null text counts as empty, so of rows with null and empty texts one stays. Of repeated rows one stays. An empty
+    table stays empty."""
+    _, last = tree_merge(digest_runs(docs))
+    # identifier and digest in one string: the same partitioning serves the join and the choice among repeated rows
+    name = next(n for n in (f"_row{i}_" for i in range(len(docs.columns) + 1)) if not any(c.startswith(n) for c in docs.columns))
+
+    def key(doc_id: Column, digest: Column) -> Column:
+        return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), digest).alias(name)
+
+    digest = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
+    keep = last.select(key(F.col("best.doc_id"), F.lower(F.hex("digest"))))
+    marked = docs.select("*", key(F.col("doc_id"), digest))
+    turn = F.row_number().over(Window.partitionBy(name).orderBy(name))
+    kept = marked.join(keep, name, "left_semi").select("*", turn.alias(f"{name}turn"))
+    return kept.where(F.col(f"{name}turn") == 1).select(*docs.columns)
 
 
 ORACLE_SQL = """

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -20,7 +19,7 @@ from tagloom.llm import (
     token_files,
     toxicity,
 )
-from tagloom.llm.common import shared_dir, table
+from tagloom.llm.common import table, work_path
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +35,7 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/tagloom/token-files-{uuid.uuid4().hex}"
+    path = work_path(spark, "token-files")
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     token_files.write_ids(table(spark, sf_dir, "documents"), tokenizer, end_id=2, path=path)
     return token_files.read_ids(spark, path)
