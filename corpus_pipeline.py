@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tagloom.llm import bpe, decontaminate, exact_dedup, near_dedup, toxicity
-from tagloom.llm.common import shared_dir, table
+from tagloom.llm.common import table, work_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +44,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage. Each stage's output is a table in the shared folder."""
-    docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/tagloom/pipeline-{uuid.uuid4().hex}"
+    docs, base = table(spark, sf_dir, "documents"), work_path(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
