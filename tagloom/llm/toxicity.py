@@ -1,15 +1,15 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick after folding look-alikes, normalised by length.
 
 The lexicon is learned from labelled rows: beginnings of words and whole words that are much more frequent in toxic
-texts, with the logarithm of their odds as weight. Longer words and word pairs that contain an entry but are of clean
-texts are exception phrases: the longer match cancels the entry inside it."""
+texts, with the logarithm of their odds as weight. Words and pairs of neighbouring words that contain an entry but are
+of clean texts are exception phrases: such a match cancels the entry inside it."""
 
 from __future__ import annotations
 
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -21,12 +21,11 @@ from tagloom.llm.common import bound_batches
 
 #: Labelled rows that the lexicon is learned from, the first by a hash of doc_id; a bound on what is fitted, no more.
 TRAIN_ROWS = 12_000
-#: Entries and exceptions, at most.
-ENTRIES, EXCEPTIONS = 2_000, 20_000
 #: Lengths of beginnings of words that may become entries.
 STEM = range(4, 10)
-#: Toxic training texts with an entry, at least.
-SUPPORT = 6
+#: Share of the toxic training texts that hold an entry, and of the clean ones that hold an exception, and texts at least.
+SUPPORT, LEAST = 0.004, 5
+
 
 #: Characters that look like Latin letters, and what digits stand for inside words.
 LOOKS = str.maketrans("аеорсухіјѕԁһкмтвнαοερικντυχ", "aeopcyxijsdhkmtbhaoepikvtux")
@@ -77,6 +76,19 @@ class Lexicon:
         total = sum(best.values())
         return [1.0, math.log1p(total), math.log1p(100 * total / (words + 20)), max(best.values(), default=0.0) / 5]
 
+    def contexts(self, folded: str) -> set[str]:
+        """The words with an entry, alone and with each neighbour: what may be an exception phrase."""
+        found = set()
+        for end, (size, _) in self.automaton.iter(folded) if not self.empty else ():
+            start = end - size + 1
+            stop = folded.index(" ", start + 1)
+            found.add(folded[start : stop + 1])
+            if start > 0:
+                found.add(folded[folded.rindex(" ", 0, start) : stop + 1])
+            if stop + 1 < len(folded):
+                found.add(folded[start : folded.index(" ", stop + 1) + 1])
+        return found
+
 
 def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -91,26 +103,22 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    """phrase, toxic, clean: texts with each beginning of a word, whole word and word pair that may matter."""
+def counted(rows: DataFrame, phrases: Callable[[str], set[str]]) -> DataFrame:
+    """phrase, toxic, clean: training texts of each label that have the phrase, for all phrases of their folded texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {0: Counter(), 1: Counter()}
 
         def flush() -> pa.RecordBatch:
-            phrases = list(sums[0].keys() | sums[1].keys())
-            columns = [pa.array([sums[k][p] for p in phrases], pa.int64()) for k in (1, 0)]
+            found = list(sums[0].keys() | sums[1].keys())
+            columns = [pa.array([sums[k][p] for p in found], pa.int64()) for k in (1, 0)]
             sums[0].clear()
             sums[1].clear()
-            return pa.RecordBatch.from_arrays([pa.array(phrases, pa.string()), *columns], names=["phrase", "toxic", "clean"])
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *columns], names=["phrase", "toxic", "clean"])
 
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = set()
-                for word in set(fold(text).split()):
-                    found.add(f" {word} ")
-                    found.update(f" {word[:n]}" for n in STEM if n <= len(word))
-                sums[label].update(found)
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                sums[label].update(phrases(fold(text.as_py())))
                 if len(sums[0]) + len(sums[1]) > 100_000:
                     yield flush()
         yield flush()
@@ -119,27 +127,34 @@ def counted(rows: DataFrame) -> DataFrame:
     return sums.groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def stems(folded: str) -> set[str]:
+    """The words of a folded text and their beginnings."""
+    found = set()
+    for word in set(folded.split()):
+        found.add(f" {word} ")
+        found.update(f" {word[:n]}" for n in STEM if n <= len(word))
+    return found
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[str], np.ndarray]:
-    """Entries, exceptions and the coefficients of a logistic regression on the features."""
+    """Entries, exceptions and the coefficients of a logistic regression on the features.
+
+    What reaches the driver is of the size of the TRAIN_ROWS training texts at most: phrases of several of them."""
     bound_batches(docs.sparkSession)
     rows = training_rows(docs, labels).persist()
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
-    counts = counted(rows).persist()
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     # the share of toxic texts among those with the phrase, less two standard errors
     share, of = F.col("toxic") / (F.col("toxic") + F.col("clean")), F.col("toxic") + F.col("clean")
     sure = share - 2 * F.sqrt((share * (1 - share) + 1 / of) / of)
     base = (toxic + 1) / (toxic + clean + 2)
-    strong = counts.where((F.col("toxic") >= SUPPORT) & (sure > min(0.5, 2 * base)) & (odds > 1))
-    picked = strong.select("phrase", odds.alias("w"), F.col("toxic")).orderBy(F.desc("toxic"), "phrase").limit(ENTRIES)
+    strong = (F.col("toxic") >= max(LEAST, SUPPORT * toxic)) & (sure > min(0.5, 2 * base)) & (odds > 1)
+    picked = counted(rows, stems).where(strong).select("phrase", odds.alias("w"))
     entries = {r["phrase"]: float(r["w"]) for r in picked.collect()}
-    stems = docs.sparkSession.createDataFrame([(p,) for p in entries if not p.endswith(" ")], "stem string")
-    whole = counts.where(F.col("phrase").endswith(" ") & (F.col("toxic") == 0) & (F.col("clean") >= 3))
-    # a clean word that begins with an entry, by an equal join on each beginning
-    begin = F.explode(F.transform(F.sequence(F.lit(STEM[0] + 1), F.lit(STEM[-1] + 1)), lambda k: F.substring("phrase", F.lit(1), k)))
-    apart = whole.select("phrase", begin.alias("stem")).join(F.broadcast(stems), "stem", "left_semi").select("phrase").distinct()
-    exceptions = [r["phrase"] for r in apart.orderBy("phrase").limit(EXCEPTIONS).collect()]
+    bare = Lexicon(entries, [])
+    often = (F.col("toxic") == 0) & (F.col("clean") >= max(LEAST, SUPPORT * clean / 4))
+    exceptions = [r["phrase"] for r in counted(rows, bare.contexts).where(often).select("phrase").collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(entries, exceptions)
@@ -150,7 +165,6 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[st
             )
 
     sample = rows.mapInArrow(run, "x array<double>, toxic int").collect()  # TRAIN_ROWS small rows at most
-    counts.unpersist()
     rows.unpersist()
     return entries, exceptions, fit([r["x"] for r in sample], [r["toxic"] for r in sample])
 
@@ -199,7 +213,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that score below the threshold, judged inside the same pass: nothing is joined."""
+    """The rows of docs that score below the threshold, judged inside the same pass: nothing is joined.
+
+    Rows with null texts count as empty texts, repeated rows are judged alike, an empty table stays empty, and columns of
+    docs may have any names."""
     entries, exceptions, b = learn(docs, labels)
     at, schema = docs.columns.index("text"), docs.schema
 

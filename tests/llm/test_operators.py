@@ -283,12 +283,42 @@ def test_html(spark):
     assert got == {1: "Head & tail\nOne two three\nFour", 2: "first page", 3: "second page", 4: ""}
 
 
-def test_toxicity(spark):
+def test_toxicity(spark, docs):
     assert toxicity.fold("Id1ot іdiot 42") == " idiot idiot "
     rows = [(i, f"fine text number {'idiot' if i % 3 == 0 else 'person'} here") for i in range(300)] + [(900, None)]
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = toxicity.score_toxicity(docs, labels).collect()
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.score_toxicity(texts, labels).collect()
     assert all(r["predicted"] == (r["doc_id"] % 3 == 0 and r["doc_id"] < 300) for r in got)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
-    assert toxicity.drop_toxic(docs, labels).count() == 201
+    assert toxicity.drop_toxic(texts, labels).count() == 201
+    # nulls, repeated rows, other columns of clashing names, long texts, empty tables
+    clash = docs.withColumn("score", F.lit(7)).withColumn("toxic", F.lit("x")).unionByName(
+        spark.createDataFrame([(5000, "person " * 200_000 + "idiot " * 9, "k", 1, "s", 7, "x")], "doc_id long, text string, key string, anchor int, digest string, score int, toxic string")
+    )
+    scored = toxicity.score_toxicity(clash, labels).collect()
+    assert len(scored) == len(ROWS) + 1 and all(0 <= r["score"] <= 1 for r in scored)
+    assert len({r["score"] for r in scored if r["doc_id"] == 20}) == 1
+    assert toxicity.drop_toxic(clash, labels).columns == clash.columns
+    assert toxicity.score_toxicity(texts.limit(0), labels).count() == 0 and toxicity.score_toxicity(texts, labels.limit(0)).count() == 301
+
+
+def test_toxicity_exceptions(spark):
+    """A pair of words of clean texts cancels the entry inside it."""
+    rows = [(i, f"text {i} you idiot") for i in range(0, 120, 2)] + [(i, f"text {i} idiot savant") for i in range(1, 120, 2)]
+    rows += [(i, f"plain text {i}") for i in range(120, 400)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0 and i < 120)) for i, _ in rows], "doc_id long, toxic int")
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    entries, exceptions, _ = toxicity.learn(texts, labels)
+    assert " idiot " in entries and " idiot savant " in exceptions and " you idiot " not in exceptions
+    assert all(r["predicted"] == (r["doc_id"] % 2 == 0 and r["doc_id"] < 120) for r in toxicity.score_toxicity(texts, labels).collect())
+
+
+def test_toxicity_held_out(spark):
+    """Held-out labels of the given table: clean texts stay, and toxic texts are found unless they hold no entry at all."""
+    base = "/root/testdata/sf0.1"
+    texts, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    own = texts.join(labels.select("doc_id"), "doc_id")
+    got = toxicity.score_toxicity(own, labels).where("held_out").join(labels.select("doc_id", "toxic"), "doc_id")
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n[1, 0]) and n.get((0, 1), 0) <= 0.02 * n[0, 0]
