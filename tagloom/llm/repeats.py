@@ -33,7 +33,7 @@ PART = 1 << 20
 #: Share of all segments over which an anchor is hot.
 HOT_SHARE = 1000
 _LOW = np.uint64((1 << 22) - 1)
-_PLACE = np.dtype([("key", "<i8"), ("start", "<i8")])
+PLACE = np.dtype([("key", "<i8"), ("start", "<i8")])
 
 
 @dataclass(frozen=True)
@@ -217,7 +217,7 @@ def segments(flagged: DataFrame, kind: Kind, hot: list[int]) -> DataFrame:
                 if not gathered:
                     continue
                 anchor_keys, at, windows, strings = zip(*gathered, strict=True)
-                places = [np.array(p, _PLACE).tobytes() for p in gathered.values()]
+                places = [np.array(p, PLACE).tobytes() for p in gathered.values()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.array(anchor_keys, np.uint64).view(np.int64)),
@@ -234,40 +234,47 @@ def segments(flagged: DataFrame, kind: Kind, hot: list[int]) -> DataFrame:
     )
 
 
-#: A judge gets groups: for each, the distinct segments as (anchor place, windows, string) and how often each occurs. It
-#: returns, for each group, for each segment its runs of repeated windows as (first, end, width of the windows).
-Judge = Callable[[list[tuple[list[tuple[int, int, bytes]], list[int]]]], list[list[list[tuple[int, int, int]]]]]
+#: A judge gets groups: for each, the distinct segments as (anchor place, windows, string) and the weight of each, which
+#: is how often it occurs unless `weigh` says otherwise. It returns, for each group, for each segment its runs of repeated
+#: windows as (first, end, width of the windows).
+Judge = Callable[[list[tuple[list[tuple[int, int, bytes]], list]]], list[list[list[tuple[int, int, int]]]]]
 #: Bytes of segments that a judge gets at once; a larger group is alone.
 GROUP_BYTES = 4 << 20
 
 
-def repeated_runs(sent: DataFrame, judge: Judge) -> DataFrame:
-    """key, first, last, width: runs [first, last) of repeated windows."""
+def occurrences(rows: list[tuple]) -> int:
+    return sum(len(row[0]) for row in rows) // PLACE.itemsize
+
+
+def repeated_runs(sent: DataFrame, judge: Judge, weigh: Callable[[list[tuple]], object] = occurrences) -> DataFrame:
+    """key, first, last, width: runs [first, last) of repeated windows, for all places of the segments.
+
+    `weigh` gets the rows of a segment: their places and whatever columns follow."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, int]]:
         current, group, size = None, {}, 0
         for batch in batches:
-            for anchor, at, n, segment, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for anchor, at, n, segment, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if anchor != current:
                     if group:
                         yield group, size
                     current, group, size = anchor, {}, 0
                 known = group.get((at, n, segment))
                 if known is None:
-                    group[at, n, segment] = [places]
+                    group[at, n, segment] = [rest]
                     size += len(segment)
                 else:
-                    known.append(places)
+                    known.append(rest)
         if group:
             yield group, size
 
     def judged(some: list[dict]) -> pa.RecordBatch:
-        asked = [(list(g), [sum(map(len, p)) // _PLACE.itemsize for p in g.values()]) for g in some]
+        asked = [(list(g), [weigh(rows) for rows in g.values()]) for g in some]
         keys, firsts, lasts, widths = [], [], [], []
         for group, answer in zip(some, judge(asked), strict=True):
-            for places, runs in zip(group.values(), answer, strict=True):
+            for rows, runs in zip(group.values(), answer, strict=True):
                 if runs:
-                    spots = np.frombuffer(b"".join(places), _PLACE)
+                    spots = np.frombuffer(b"".join([row[0] for row in rows]), PLACE)
                     for a, b, width in runs:
                         widths.append(np.full(len(spots), width))
                         keys.append(spots["key"])

@@ -113,8 +113,8 @@ class Suffixes:
         return shared, good
 
 
-def plain_order(strings: list[bytes]) -> tuple[list[int], list[int]]:
-    """Order and shared lengths by comparing bytes; where hashes collided."""
+def plain_order(strings: list[list[int]]) -> tuple[list[int], list[int]]:
+    """Order and shared lengths by comparing symbols; where hashes collided."""
     order = sorted(range(len(strings)), key=strings.__getitem__)
     shared = [0]
     for a, b in zip(order, order[1:], strict=False):
@@ -126,8 +126,30 @@ def plain_order(strings: list[bytes]) -> tuple[list[int], list[int]]:
     return order, shared
 
 
-def classes(width: int, at, n, counts, right, right_shared, left, left_shared) -> list[list[tuple[int, int]]]:
-    """The repeated windows of the segments of one group, from both orders and shared lengths."""
+def suffix_orders(buf: np.ndarray, at: np.ndarray, length: np.ndarray, sizes: np.ndarray):
+    """For each group of strings laid end to end: its slice, the order of the strings from the anchor on with the lengths
+    that neighbours share, and the same of their reversed beginnings."""
+    start = np.cumsum(length) - length
+    anchor, sides = start + at, []
+    for suffixes in (Suffixes(buf, anchor, length - at), Suffixes(buf[::-1].copy(), len(buf) - anchor, at)):
+        order = suffixes.sort(sizes)
+        sides.append((order, *suffixes.neighbours(order, sizes)))
+    (right, right_shared, right_good), (left, left_shared, left_good) = sides
+    first = 0
+    for c in sizes.tolist():
+        own = slice(first, first + c)
+        r, rs, le, ls = right[own] - first, right_shared[own], left[own] - first, left_shared[own]
+        if not (right_good[own].all() and left_good[own].all()):  # hashes collided
+            places = list(zip(start[own].tolist(), anchor[own].tolist(), (start + length)[own].tolist(), strict=True))
+            r, rs = map(np.array, plain_order([buf[a:e].tolist() for _, a, e in places]))
+            le, ls = map(np.array, plain_order([buf[b:a][::-1].tolist() for b, a, _ in places]))
+        yield own, (r, rs, le, ls)
+        first += c
+
+
+def classes(width: int, at, n, several, right, right_shared, left, left_shared) -> list[list[tuple[int, int]]]:
+    """The repeated windows of the segments of one group, from both orders and shared lengths. `several` says of segments
+    and their classes which are of a class that is repeated."""
     c = len(at)
     low, high = at - n + 1, at  # bytes before the anchor, least and most, of each segment's windows
     points = np.unique(np.concatenate([width - right_shared[1:], left_shared[1:] + 1, low, high + 1]))
@@ -141,8 +163,7 @@ def classes(width: int, at, n, counts, right, right_shared, left, left_shared) -
         by_right[right] = np.cumsum(right_shared < width - p)
         by_left[left] = np.cumsum(left_shared < p)
         _, same = np.unique(by_right[there] * (c + 1) + by_left[there], return_inverse=True)
-        total = np.bincount(same, weights=counts[there])
-        for s in there[total[same] > 1].tolist():
+        for s in there[several(there, same)].tolist():
             a, b = int(at[s]) - q + 1, int(at[s]) - p + 1
             if runs[s] and runs[s][-1][0] == b:
                 runs[s][-1] = (a, runs[s][-1][1])
@@ -173,35 +194,22 @@ def sort_suffixes(widths: list[int]):
         sizes = np.array([len(groups[g][0]) for g in several], np.int64)
         length = np.array([len(s) for s in strings], np.int64)
         buf = np.frombuffer(b"".join(strings), np.uint8)
-        anchor = np.cumsum(length) - length + at
-        sides = []
-        for suffixes in (Suffixes(buf, anchor, length - at), Suffixes(buf[::-1].copy(), len(buf) - anchor, at)):
-            order = suffixes.sort(sizes)
-            sides.append((order, *suffixes.neighbours(order, sizes)))
-        (right, right_shared, right_good), (left, left_shared, left_good) = sides
-        first = 0
-        for g, c in zip(several, sizes.tolist(), strict=True):
-            own = slice(first, first + c)
-            r, rs, le, ls = right[own] - first, right_shared[own], left[own] - first, left_shared[own]
-            if not right_good[own].all():
-                r, rs = map(np.array, plain_order([s[a:] for a, _, s in groups[g][0]]))
-            if not left_good[own].all():
-                le, ls = map(np.array, plain_order([s[:a][::-1] for a, _, s in groups[g][0]]))
+        for g, (own, sides) in zip(several, suffix_orders(buf, at, length, sizes), strict=True):
+            (_, right_shared, _, left_shared), c, count = sides, len(groups[g][0]), counts[own]
             answers[g] = [[] for _ in range(c)]
             for w in widths:
                 n = np.minimum(windows[own], length[own] - w + 1)
-                if c == 2 and counts[own].max() == 1:
+                if c == 2 and count.max() == 1:
                     # the bytes before the anchor of the windows that both have and that agree
-                    high = min(int(ls[1]), int(at[own].min()))
-                    low = max(w - int(rs[1]), int((at[own] - n).max()) + 1)
+                    high = min(int(left_shared[1]), int(at[own].min()))
+                    low = max(w - int(right_shared[1]), int((at[own] - n).max()) + 1)
                     found = [[(a - high, a - low + 1)] if low <= high else [] for a in at[own].tolist()]
                 elif (n > 0).any():
-                    found = classes(w, at[own], n, counts[own], r, rs, le, ls)
+                    found = classes(w, at[own], n, lambda t, same, k=count: np.bincount(same, weights=k[t])[same] > 1, *sides)
                 else:
                     continue
                 for all_, runs in zip(answers[g], found, strict=True):
                     all_ += [(a, b, w) for a, b in runs]
-            first += c
         return answers
 
     return judge
