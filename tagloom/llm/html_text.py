@@ -1,26 +1,37 @@
-"""Main text of web pages, with a suffix array over each host's pages for boilerplate.
+"""Main text of web pages, with a suffix order over each host's pages for boilerplate.
 
 Markup says which blocks are of the article, which are boilerplate (menus, adverts, forms ...) and which may be either.
-The token streams of all blocks outside articles, page after page of a host, are suffix-sorted: neighbours that share a
-long beginning and are of distinct pages are repeated boilerplate. Runs of the main text that they cover are removed, and
-what is unique stays. Text that only articles share (syndicated texts) is no boilerplate."""
+The tokens of all blocks outside articles are a page's stream; runs may cross the borders of its blocks. The suffixes of
+all streams of a host are ordered: neighbours that share a long beginning and are of several distinct pages are repeated
+boilerplate. What they cover in the main text is removed, and what is unique stays. Text that only articles share
+(syndicated texts) is no boilerplate, and pages of a host with equal streams (mirrors) are one page.
+
+A host's suffixes aren't gathered: `repeats` deals them out by host and the least hash of a few tokens in a window, so
+that a host of a third of all pages is spread over all tasks, and equal runs of a batch travel once. The suffix sort of
+such a group, by tokens themselves, says which windows are equal and on which pages they stand."""
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import bit_filter, in_filter, mix, rolling, stage
-from tagloom.llm.tokens import word_hashes
+from tagloom.llm.common import bit_filter, blocks, bound_batches, in_filter, mix, stage
+from tagloom.llm.repeats import PLACE, Kind, cut, repeated_runs
+from tagloom.llm.substring_dedup import covered, word_symbols
+from tagloom.llm.suffix_dedup import classes, suffix_orders
 
-#: Tokens of a repeated run: of blocks that may be either, and of blocks that markup says are of the article.
-LOOSE, STRICT = 8, 30
+#: Tokens of a repeated run, those that decide where it is sent, and distinct pages of the host that it must be on.
+WINDOW, GRAM, PAGES = 8, 3, 3
+#: Tokens in a row that must be covered for them to go from blocks that markup says are of the article.
+STRICT = 30
 ARTICLE, EITHER, BOILERPLATE = 0, 1, 2
 
 _TOKEN = re.compile(
@@ -101,154 +112,238 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def main_blocks(found: list[tuple[int, str]]) -> tuple[int, list[str]]:
-    """The region that holds the main text, and its blocks: the article's, or else those that may be either."""
-    region = ARTICLE if any(r == ARTICLE for r, _ in found) else EITHER
-    return region, [t for r, t in found if r == region]
-
-
-def suffix_classes(ids: np.ndarray, length: int) -> np.ndarray:
-    """Class of the beginning of `length` of each suffix, equal for equal beginnings, by doubling of sorted ranks."""
-    _, rank = np.unique(ids, return_inverse=True)
-    size = 1
-    while size < length:
-        step = min(size, length - size)
-        rest = np.zeros(len(rank), np.int64)
-        rest[: len(rank) - step] = rank[step:] + 1
-        _, rank = np.unique(rank.astype(np.int64) * (len(rank) + 2) + rest, return_inverse=True)
-        size += step
-    return rank
-
-
-def grams_of(texts: list[str], host: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each run of `length` tokens (with host and length), whether it lies in one text, and tokens per text."""
-    words, counts = word_hashes(texts)
-    grams = mix(rolling(words, length) ^ np.uint64((host * 2 + 1) % (1 << 64)) ^ np.uint64(length))
-    ends = np.repeat(np.cumsum(counts), counts)[: len(grams)]
-    return grams, ends - np.arange(len(grams)) >= length, counts
+def host_of(url: str | None) -> str:
+    m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#\s]*)", url or "")
+    return m[1].lower() if m else f"no host: {' '.join((url or '').split())}"
 
 
-def _host(url: str | None) -> str:
-    m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", url or "")
-    return m[1].lower() if m else ""
+def stream_key(host: str, stream: str, article: bool) -> int | None:
+    """A name of a host's stream; those of articles are odd."""
+    if not stream:
+        return None
+    digest = hashlib.blake2b(f"{host}\n{stream}".encode(), digest_size=8).digest()
+    return int.from_bytes(digest, "little", signed=True) & ~1 | article
 
 
-def _host_number(url: str | None) -> int:
-    return int(mix(word_hashes([_host(url) or "-"])[0][:1].sum(keepdims=True))[0])
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, blocks with their regions, and the names of the streams outside and of the article."""
 
-
-def outside_runs(pages: DataFrame) -> DataFrame:
-    """gram, low, high: runs of tokens outside articles, with the least and greatest key of the host's pages that have
-    them. Pages of a batch are sorted by host, their streams laid end to end and suffix-sorted."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, texts, regions, outside, article = [], [], [], [], []
+            for url, page in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                found = blocks_of(page.as_py() or "")
+                hosts.append(host_of(url))
+                texts.append([t for _, t in found])
+                regions.append([r for r, _ in found])
+                outside.append(stream_key(hosts[-1], " ".join(t for r, t in found if r != ARTICLE), False))
+                article.append(stream_key(hosts[-1], " ".join(t for r, t in found if r == ARTICLE), True))
+            columns = [
+                pa.array(hosts, pa.string()),
+                pa.array(texts, pa.list_(pa.string())),
+                pa.array(regions, pa.list_(pa.int8())),
+                pa.array(outside, pa.int64()),
+                pa.array(article, pa.int64()),
+            ]
+            names = ["page_id", "url", "host", "blocks", "regions", "outside", "article"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=names)
+
+    columns = [F.col("page_id").cast("long").alias("page_id"), *(F.col(c).cast("string").alias(c) for c in ("url", "html"))]
+    out = "page_id long, url string, host string, blocks array<string>, regions array<byte>, outside long, article long"
+    return pages.select(*columns).mapInArrow(run, out)
+
+
+def page_symbols(texts: list[bytes]):
+    """Symbols of streams, each with its host in the line before it: equal words of two hosts are two symbols."""
+    hosts, streams = zip(*((h, s) for h, _, s in (t.partition(b"\n") for t in texts)), strict=True)
+    words, counts, string = word_symbols(list(streams))
+    names = np.array([int.from_bytes(hashlib.blake2b(h, digest_size=8).digest(), "little") for h in hosts], np.uint64)
+    ends = np.cumsum(counts)
+    whole = lambda a, b: hosts[int(np.searchsorted(ends, a, side="right"))] + b"\n" + string(a, b)
+    return mix(words ^ np.repeat(names, counts)), counts, whole
+
+
+KIND = Kind(WINDOW, GRAM, page_symbols)
+
+
+def streams_of(batch: pa.RecordBatch, articles: bool) -> Iterator[tuple[list[int], list[bytes], list[bool]]]:
+    """Distinct streams of parsed pages in blocks: names, host and stream, and whether the main text is in it."""
+    found: dict[int, tuple[bytes, bool]] = {}
+    for host, texts, regions, outside, article in zip(*(batch.column(c) for c in ("host", "blocks", "regions", "outside", "article")), strict=True):
+        own, texts = regions.as_py(), texts.as_py()
+        for key, inside in ((outside, False), (article, True)):
+            if key.is_valid and key.as_py() not in found and (articles or not inside):
+                stream = " ".join(t for r, t in zip(own, texts, strict=True) if (r == ARTICLE) == inside)
+                found[key.as_py()] = f"{host.as_py()}\n{stream}".encode(), inside or not article.is_valid
+    keys, rest = list(found), list(found.values())
+    for some in blocks(rest, [len(t) for t, _ in rest]):
+        yield [keys[i] for i in some], [rest[i][0] for i in some], [rest[i][1] for i in some]
+
+
+def repeated_anchors(rows: DataFrame) -> DataFrame:
+    """anchor: those that several streams outside articles have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, urls, sources = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            hosts: dict[int, list[tuple[int, list[str]]]] = {}
-            for key, url, page in zip(keys, urls, sources, strict=True):
-                texts = [t for r, t in blocks_of(page or "") if r != ARTICLE]
-                hosts.setdefault(_host_number(url), []).append((key, texts))
-            grams, lows, highs = [], [], []
-            for host, own in hosts.items():
-                texts = [t for _, ts in own for t in ts]
-                page_of = np.repeat(np.array([k for k, _ in own], np.int64), [len(ts) for _, ts in own])
-                words, counts = word_hashes(texts) if texts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                if not len(words):
-                    continue
-                owner = np.repeat(page_of, counts)
-                for length in (LOOSE, STRICT):
-                    gram, whole, _ = grams_of(texts, host, length)
-                    if not whole.any():
-                        continue
-                    kinds = suffix_classes(words, length)[: len(gram)][whole]
-                    order = np.lexsort((owner[: len(gram)][whole], kinds))
-                    kinds, pages_, gram = kinds[order], owner[: len(gram)][whole][order], gram[whole][order]
-                    first = np.flatnonzero(np.concatenate(([True], kinds[1:] != kinds[:-1])))
-                    last = np.append(first[1:], len(kinds)) - 1
-                    grams.append(gram[first])
-                    lows.append(pages_[first])
-                    highs.append(pages_[last])
-            if grams:
-                arrays = [np.concatenate(x).view(np.int64) for x in (grams, lows, highs)]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["gram", "low", "high"])
-
-    return pages.mapInArrow(run, "gram long, low long, high long")
-
-
-def main_texts(pages: DataFrame, bits: np.ndarray) -> DataFrame:
-    """key, page_id, url, blocks of the main text, and the hashes of its runs that may be boilerplate."""
-    shared = pages.sparkSession.sparkContext.broadcast(bits)
+            for keys, texts, _ in streams_of(batch, False):
+                values, counts, _ = page_symbols(texts)
+                seg = cut(values, counts, KIND)
+                owner = np.array(keys, np.int64)[seg.text]
+                order = np.lexsort((owner, seg.key))
+                anchor, owner = seg.key[order], owner[order]
+                first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1]))) if len(anchor) else np.zeros(0, int)
+                last = np.append(first[1:], len(anchor))[: len(first)] - 1
+                columns = [anchor[first].view(np.int64), owner[first], owner[last]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["anchor", "low", "high"])
+
+    found = rows.mapInArrow(run, "anchor long, low long, high long")
+    met = found.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return stage(met.where("low < high").select("anchor"), "page-anchors")
+
+
+def page_segments(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Segments whose anchor may be repeated: anchor, its place, windows, string, places in main texts, and the names of
+    the pages (as many as matter) that have it outside an article. Equal segments of a batch are one row."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
-            texts, hits = [], []
-            for url, page in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                region, own = main_blocks(blocks_of(page or ""))
-                grams, whole, _ = grams_of(own, _host_number(url), STRICT if region == ARTICLE else LOOSE)
-                grams = grams[whole]
-                texts.append(own)
-                hits.append(np.unique(grams[in_filter(known, grams)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(texts, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.int64()))],
-                names=["key", "page_id", "url", "blocks", "hits"],
-            )
-
-    return pages.mapInArrow(run, "key long, page_id long, url string, blocks array<string>, hits array<long>")
-
-
-def without_runs(texts: list[str], url: str | None, gone: set[int]) -> list[str]:
-    """The blocks without the tokens that boilerplate runs cover; blocks with nothing left are left out."""
-    kept = []
-    for text in texts:
-        words = text.split(" ")
-        cover = np.zeros(len(words), bool)
-        for length in (LOOSE, STRICT):
-            # words without a letter or digit have no hash and go with their neighbours
-            _, per_word = word_hashes(words)
-            grams, _, _ = grams_of([text], _host_number(url), length)
-            start = np.cumsum(per_word) - per_word
-            at = [i for i, g in enumerate(grams.view(np.int64).tolist()) if g in gone]
-            for i in at:
-                a = int(np.searchsorted(start + per_word, i, side="right"))
-                b = int(np.searchsorted(start, i + length, side="left"))
-                cover[a:b] = True
-        left = " ".join(w for w, c in zip(words, cover.tolist(), strict=True) if not c)
-        if left:
+            for keys, texts, main in streams_of(batch, True):
+                values, counts, string = page_symbols(texts)
+                seg = cut(values, counts, KIND)
+                take = in_filter(shared.value, seg.key)
+                first = np.cumsum(counts) - counts
+                gathered: dict[tuple[int, int, int, bytes], tuple[list, set]] = {}
+                for t, start, n, at, anchor in zip(
+                    *(getattr(seg, f)[take].tolist() for f in ("text", "start", "n", "anchor", "key")), strict=True
+                ):
+                    whole = (anchor, at - start, n, string(start, start + n + WINDOW - 1))
+                    places, pages = gathered.setdefault(whole, ([], set()))
+                    if main[t]:
+                        places.append((keys[t], start - int(first[t])))
+                    if not keys[t] & 1:
+                        pages.add(keys[t])
+                if gathered:
+                    anchors, at, windows, strings = zip(*gathered, strict=True)
+                    columns = [
+                        pa.array(np.array(anchors, np.uint64).view(np.int64)),
+                        pa.array(at, pa.int32()),
+                        pa.array(windows, pa.int32()),
+                        pa.array(strings, pa.binary()),
+                        pa.array([np.array(p, PLACE).tobytes() for p, _ in gathered.values()], pa.binary()),
+                        pa.array([sorted(k)[:PAGES] for _, k in gathered.values()], pa.list_(pa.int64())),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["anchor", "at", "n", "segment", "places", "pages"])
+
+    out = "anchor long, at int, n int, segment binary, places binary, pages array<long>"
+    return rows.mapInArrow(run, out)
+
+
+def distinct_pages(rows: list[tuple]) -> list[int]:
+    return sorted({key for _, keys in rows for key in keys})[:PAGES]
+
+
+def on_several_pages(groups):
+    """A judge that orders the suffixes of a group's streams and finds the windows that stand on PAGES distinct pages."""
+    answers: list = [[[] for _ in segments] for segments, _ in groups]
+    several = []
+    for g, (segments, pages) in enumerate(groups):
+        if len(set().union(*pages)) < PAGES:
+            continue
+        if len(segments) == 1:
+            answers[g] = [[(0, segments[0][1], WINDOW)]]
+        else:
+            several.append(g)
+    if not several:
+        return answers
+    ids: dict[tuple[bytes, bytes], int] = {}
+    streams, at, windows, owner, names = [], [], [], [], []
+    for g in several:
+        for (place, n, string), pages in zip(*groups[g], strict=True):
+            host, _, stream = string.partition(b"\n")
+            owner += [len(streams)] * len(pages)
+            names += pages
+            streams.append(np.array([ids.setdefault((host, word), len(ids)) for word in stream.split(b" ")], np.int64))
+            at.append(place)
+            windows.append(n)
+    at, windows, owner, names = (np.array(x, np.int64) for x in (at, windows, owner, names))
+    sizes, length = np.array([len(groups[g][0]) for g in several]), np.array([len(x) for x in streams])
+    for g, (own, sides) in zip(several, suffix_orders(np.concatenate(streams), at, length, sizes), strict=True):
+        mine = slice(*np.searchsorted(owner, [own.start, own.stop]))
+
+        def repeated(there, same, who=owner[mine] - own.start, page=names[mine], c=own.stop - own.start):
+            kind = np.full(c, -1)
+            kind[there] = same
+            pairs = np.unique(np.stack([kind[who], page]), axis=1)[0]
+            return np.bincount(pairs[pairs >= 0], minlength=same.max() + 1)[same] >= PAGES
+
+        found = classes(WINDOW, at[own], windows[own], repeated, *sides)
+        answers[g] = [[(a, b, WINDOW) for a, b in runs] for runs in found]
+    return answers
+
+
+def main_text(texts: list[str], regions: list[int], runs: list[dict] | None) -> str:
+    """The main text: the article's blocks, or else those that may be either, without what the runs cover."""
+    inside = ARTICLE in regions
+    stream = [(r, t.split(" ")) for r, t in zip(regions, texts, strict=True) if (r == ARTICLE) == inside]
+    gone = covered(sum(len(words) for _, words in stream), runs, WINDOW)
+    if inside:
+        edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            gone[a:b] = b - a >= STRICT
+    kept, at = [], 0
+    for region, words in stream:
+        cover, at = gone[at : at + len(words)].tolist(), at + len(words)
+        left = " ".join(w for w, c in zip(words, cover, strict=True) if not c)
+        if left and region != BOILERPLATE:
             kept.append(left)
-    return kept
+    return "\n".join(kept)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: a row for each row of pages.
 
-    A null or empty html, and a page without main text, give an empty text; a null url is a host of its own. Repeated rows
-    are one page for the count of distinct pages and each get their result. An empty table gives an empty result."""
-    source = F.col("html").cast("string")
-    rows = pages.select(
-        F.xxhash64("page_id", "url", "html").alias("key"),
-        F.col("page_id").cast("long").alias("page_id"),
-        F.col("url").cast("string").alias("url"),
-        source.alias("html"),
-    )
-    runs = outside_runs(rows).groupBy("gram").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    repeated = stage(runs.where("low < high").select("gram"), "repeated-runs")
-    texts = stage(main_texts(rows, bit_filter(repeated, "gram", 23)), "main-texts")
-    hits = texts.where(F.size("hits") > 0).select("key", F.explode("hits").alias("gram")).distinct()
-    gone = hits.join(repeated, "gram").groupBy("key").agg(F.collect_set("gram").alias("gone"))
+    A null or empty html, and a page without main text, give an empty text. Pages without a host in their url are of a
+    host with those of the same url. Repeated rows are one page for the count of distinct pages and each get their
+    result. An empty table gives an empty result; other columns play no part."""
+    bound_batches(pages.sparkSession)
+    rows = stage(parsed(pages), "page-blocks")
+    anchors = repeated_anchors(rows)
+    log2 = min(26, max(18, (8 * anchors.count()).bit_length()))  # 8 MB at most; beyond, more segments are sent
+    runs = repeated_runs(page_segments(rows, bit_filter(anchors, "anchor", log2)), on_several_pages, distinct_pages)
+    runs = runs.groupBy("key").agg(F.collect_set(F.struct("first", "last", "width")).alias("runs"))
+    runs = stage(runs, "page-runs")
     out = "page_id long, url string, text string, n_chars long"
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def render(batch: pa.RecordBatch, runs: list) -> pa.RecordBatch:
+        own = zip(batch.column("blocks").to_pylist(), batch.column("regions").to_pylist(), runs, strict=True)
+        found = [main_text(*row) for row in own]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())],
+            names=["page_id", "url", "text", "n_chars"],
+        )
+
+    # a page whose main stream has no run doesn't meet any; a bit map of the streams with runs tells most of them
+    shared = pages.sparkSession.sparkContext.broadcast(bit_filter(runs, "key", min(26, max(18, (8 * runs.count()).bit_length()))))
+    main = F.coalesce("article", "outside")
+
+    def marked(batch: pa.RecordBatch) -> np.ndarray:
+        keys = pc.fill_null(batch.column("main"), 0).to_numpy()
+        return in_filter(shared.value, keys.view(np.uint64))
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for url, own, gone_ in zip(*(c.to_pylist() for c in batch.columns[1:4]), strict=True):
-                found.append("\n".join(without_runs(own, url, set(gone_)) if gone_ else own))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())],
-                names=["page_id", "url", "text", "n_chars"],
-            )
-
-    plain = texts.where(F.size("hits") == 0).select("page_id", "url", F.array_join("blocks", "\n").alias("text"))
-    plain = plain.withColumn("n_chars", F.char_length("text").cast("long"))
-    marked = texts.where(F.size("hits") > 0).join(gone, "key", "left")
-    return plain.unionByName(marked.select("page_id", "url", "blocks", "gone").mapInArrow(cut, out))
+            some = batch.filter(pa.array(~marked(batch)))
+            yield render(some, [None] * some.num_rows)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(marked(batch)))
+
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield render(batch, batch.column("runs").to_pylist())
+
+    own = rows.select("page_id", "url", "blocks", "regions", main.alias("main"))
+    met = own.mapInArrow(others, own.schema).join(runs, F.col("main") == F.col("key"), "left")
+    return own.mapInArrow(plain, out).unionByName(met.select("page_id", "url", "blocks", "regions", "runs").mapInArrow(without, out))

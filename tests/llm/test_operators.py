@@ -278,9 +278,54 @@ def test_html(spark):
     )
     line = " ".join(f"cookie{i}" for i in range(12))
     plain = "<body><p>{}</p><p>" + line + "</p></body>"
-    rows = [(1, "http://a/x", page), (2, "http://b/1", plain.format("first page")), (3, "http://b/2", plain.format("second page")), (4, None, None)]
-    got = {r["page_id"]: r["text"] for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {1: "Head & tail\nOne two three\nFour", 2: "first page", 3: "second page", 4: ""}
+    rows = [(1, "http://a/x", page), (4, None, None), (5, "no url", ""), (6, "http://a/y", "<p>" + "long word &eacute; " * 100_000)]
+    rows += [(10 + i, f"http://b/{i}", plain.format(f"page number {i}")) for i in range(3)]
+    rows += [(20 + i, f"http://c/{i}", plain.format(f"page number {i}")) for i in range(2)]  # of too few pages of a host
+    rows += [(30, "http://d/1", plain.format("mirror"))] * 2 + [(31, "http://d/2", plain.format("mirror"))]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, host int")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_main_text(pages).collect()}
+    assert got[1] == "Head & tail\nOne two three\nFour" and got[4] == got[5] == "" and got[6] == ("long word é " * 100_000).strip()
+    assert [got[10 + i] for i in range(3)] == [f"page number {i}" for i in range(3)]
+    assert [got[20 + i] for i in range(2)] == [f"page number {i}\n{line}" for i in range(2)] and got[30] == f"mirror\n{line}"
+    assert html_text.extract_main_text(pages).count() == len(rows) and html_text.extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_html_boilerplate(spark, monkeypatch):
+    """Boilerplate without telling tags or classes, in pieces and across blocks, against brute force."""
+    rng = random.Random(5)
+    menus = [[f"m{k}w{i}" for i in range(rng.randint(6, 40))] for k in range(6)]
+    rows, streams = [], []
+    for i in range(80):
+        host, own = rng.choice("pq"), []
+        for _ in range(rng.randint(1, 5)):
+            own.append([f"u{i}x{rng.randint(0, 99)}" for _ in range(rng.randint(1, 12))])
+            menu = rng.choice(menus)
+            first = rng.randint(0, len(menu) // 2)
+            own.append(menu[first : first + rng.randint(1, 40)])
+        rows.append((i, f"https://{host}/{i}", "".join(f"<p>{' '.join(b)}</p>" for b in own)))
+        streams.append((host, own))
+    width = html_text.WINDOW
+    where = collections.defaultdict(set)
+    for i, (host, own) in enumerate(streams):
+        words = [w for b in own for w in b]
+        for k in range(len(words) - width + 1):
+            where[host, tuple(words[k : k + width])].add(i)
+    expected = {}
+    for i, (host, own) in enumerate(streams):
+        words = [w for b in own for w in b]
+        gone = [False] * len(words)
+        for k in range(len(words) - width + 1):
+            if len(where[host, tuple(words[k : k + width])]) >= html_text.PAGES:
+                gone[k : k + width] = [True] * width
+        left, at = [], 0
+        for b in own:
+            left.append(" ".join(w for w, g in zip(b, gone[at : at + len(b)], strict=True) if not g))
+            at += len(b)
+        expected[i] = "\n".join(filter(None, left))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = {r["page_id"]: r["text"] for r in html_text.extract_main_text(pages).collect()}
+    assert got == expected
+    assert sum(len(t) for t in expected.values()) < 0.8 * sum(len(" ".join(w)) for _, o in streams for w in o)
 
 
 def test_toxicity(spark, docs):
