@@ -30,7 +30,7 @@ from tagloom.llm.suffix_dedup import classes, suffix_orders
 
 #: Tokens of a repeated run, those that decide where it is sent, and distinct pages of the host that it must be on.
 WINDOW, GRAM, PAGES = 8, 3, 3
-#: Tokens in a row that must be covered for them to go from blocks that markup says are of the article.
+#: Tokens of a run that goes from blocks that markup says are of the article.
 STRICT = 30
 ARTICLE, EITHER, BOILERPLATE = 0, 1, 2
 
@@ -163,7 +163,7 @@ def page_symbols(texts: list[bytes]):
     return mix(words ^ np.repeat(names, counts)), counts, whole
 
 
-KIND = Kind(WINDOW, GRAM, page_symbols)
+KIND = Kind(WINDOW, GRAM, page_symbols, longest=STRICT)
 
 
 def streams_of(batch: pa.RecordBatch, articles: bool) -> Iterator[tuple[list[int], list[bytes], list[bool]]]:
@@ -212,12 +212,13 @@ def page_segments(rows: DataFrame, bits: np.ndarray) -> DataFrame:
                 values, counts, string = page_symbols(texts)
                 seg = cut(values, counts, KIND)
                 take = in_filter(shared.value, seg.key)
-                first = np.cumsum(counts) - counts
+                limit = np.cumsum(counts)
+                first, limit = limit - counts, limit.tolist()
                 gathered: dict[tuple[int, int, int, bytes], tuple[list, set]] = {}
                 for t, start, n, at, anchor in zip(
                     *(getattr(seg, f)[take].tolist() for f in ("text", "start", "n", "anchor", "key")), strict=True
                 ):
-                    whole = (anchor, at - start, n, string(start, start + n + WINDOW - 1))
+                    whole = (anchor, at - start, n, string(start, min(start + n + STRICT - 1, limit[t])))
                     places, pages = gathered.setdefault(whole, ([], set()))
                     if main[t]:
                         places.append((keys[t], start - int(first[t])))
@@ -251,7 +252,9 @@ def on_several_pages(groups):
         if len(set().union(*pages)) < PAGES:
             continue
         if len(segments) == 1:
-            answers[g] = [[(0, segments[0][1], WINDOW)]]
+            _, n, string = segments[0]
+            ends = [(w, min(n, string.count(b" ") + 2 - w)) for w in (WINDOW, STRICT)]
+            answers[g] = [[(0, end, w) for w, end in ends if end > 0]]
         else:
             several.append(g)
     if not several:
@@ -277,8 +280,11 @@ def on_several_pages(groups):
             pairs = np.unique(np.stack([kind[who], page]), axis=1)[0]
             return np.bincount(pairs[pairs >= 0], minlength=same.max() + 1)[same] >= PAGES
 
-        found = classes(WINDOW, at[own], windows[own], repeated, *sides)
-        answers[g] = [[(a, b, WINDOW) for a, b in runs] for runs in found]
+        for w in (WINDOW, STRICT):
+            n = np.minimum(windows[own], length[own] - w + 1)
+            if (n > 0).any():
+                for all_, runs in zip(answers[g], classes(w, at[own], n, repeated, *sides), strict=True):
+                    all_ += [(a, b, w) for a, b in runs]
     return answers
 
 
@@ -286,11 +292,7 @@ def main_text(texts: list[str], regions: list[int], runs: list[dict] | None) ->
     """The main text: the article's blocks, or else those that may be either, without what the runs cover."""
     inside = ARTICLE in regions
     stream = [(r, t.split(" ")) for r, t in zip(regions, texts, strict=True) if (r == ARTICLE) == inside]
-    gone = covered(sum(len(words) for _, words in stream), runs, WINDOW)
-    if inside:
-        edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            gone[a:b] = b - a >= STRICT
+    gone = covered(sum(len(words) for _, words in stream), runs, STRICT if inside else WINDOW)
     kept, at = [], 0
     for region, words in stream:
         cover, at = gone[at : at + len(words)].tolist(), at + len(words)

@@ -282,11 +282,16 @@ def test_html(spark):
     rows += [(10 + i, f"http://b/{i}", plain.format(f"page number {i}")) for i in range(3)]
     rows += [(20 + i, f"http://c/{i}", plain.format(f"page number {i}")) for i in range(2)]  # of too few pages of a host
     rows += [(30, "http://d/1", plain.format("mirror"))] * 2 + [(31, "http://d/2", plain.format("mirror"))]
+    # what stands outside the article of three pages goes from an article if it is long enough
+    long, short = " ".join(f"s{i}" for i in range(31)), " ".join(f"t{i}" for i in range(20))
+    rows += [(40 + i, f"http://e/{i}", f"<div>{long} {short} {i}</div><article>the text {i}</article>") for i in range(3)]
+    rows += [(45, "http://e/5", f"<article>all of <p>{long}</p> but {short}</article>")]
     pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, host int")
     got = {r["page_id"]: r["text"] for r in html_text.extract_main_text(pages).collect()}
     assert got[1] == "Head & tail\nOne two three\nFour" and got[4] == got[5] == "" and got[6] == ("long word é " * 100_000).strip()
     assert [got[10 + i] for i in range(3)] == [f"page number {i}" for i in range(3)]
     assert [got[20 + i] for i in range(2)] == [f"page number {i}\n{line}" for i in range(2)] and got[30] == f"mirror\n{line}"
+    assert got[40] == "the text 0" and got[45] == f"all of\nbut {short}"
     assert html_text.extract_main_text(pages).count() == len(rows) and html_text.extract_main_text(pages.limit(0)).count() == 0
 
 
