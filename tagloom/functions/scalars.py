@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Endings in kopecks that derived prices may have.
-KOPECKS = (0, 9, 17, 19, 29, 39, 49, 59, 69, 79, 89, 95, 99)
+KOPECKS = (0, 9, 17, 19, 21, 47, 51, 78, 79, 89, 90, 95, 99)
 NAME_PATTERN = "[a-zа-я0-9]+(?:[./-][a-zа-я0-9]+)*"
 
 
@@ -157,3 +157,65 @@ def valid_date(text: Column) -> Column:
     """The DD.MM.YYYY in a text, if there is such a day."""
     found = F.regexp_extract(text, r"([0-9]{2}[. ][0-9]{2}[. ][0-9]{4})", 1)
     return F.try_to_timestamp(F.translate(found, " ", "."), F.lit("dd.MM.yyyy")).cast("date")
+
+
+def _counted(text: Column, pattern: str) -> Column:
+    return F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+
+
+def name_score(text: Column) -> Column:
+    """How readable a name is when views are merged: letters, words of three characters and capital words count for it,
+    signs of misreading, odd characters and single characters against it; 0 at least."""
+    plain = F.trim(text)
+    word = "[A-Za-zА-Яа-яЁё0-9][A-Za-zА-Яа-яЁё0-9./-]*"
+    words = F.regexp_extract_all(plain, F.lit(word), F.lit(0))
+    letters, n = _counted(plain, "[A-Za-zА-Яа-яЁё]"), F.size(words)
+    capital = F.size(F.filter(words, lambda w: (F.length(w) >= 3) & w.rlike(r"\p{L}") & (F.upper(w) == w)))
+    odd = 1 - _counted(plain, r"[A-Za-zА-Яа-яЁё0-9\s.,()/-]") / F.greatest(F.length(plain), F.lit(1))
+    single = F.size(F.filter(words, lambda w: F.length(w) == 1)) / F.greatest(n, F.lit(1))
+    score = (
+        letters * 0.1 + F.size(F.filter(words, lambda w: F.length(w) >= 3)) + F.when(letters > 0, 2.0).otherwise(0.0)
+        + F.least(capital, F.lit(4)) * 0.5 - _counted(plain, r"[#@>={}\[\];|]") * 1.5
+        - F.when(odd > 0.3, odd * 10).otherwise(0.0) - F.when(single > 0.35, 3.0).otherwise(0.0)
+    )
+    return F.when((plain == "") | (plain == "нет"), 0.0).otherwise(F.greatest(score, F.lit(0.0)))
+
+
+def price_text(text: Column) -> Column:
+    """A price as it is read off a label: comma and rouble signs as point, one decimal made two, more than two cut; without
+    a point the last two of five digits or more are kopecks."""
+    tight = F.translate(F.regexp_replace(F.trim(text), r"\s+", ""), ",рРpP₽", "......")
+    whole, rest = F.split_part(tight, F.lit("."), F.lit(1)), F.replace(F.regexp_replace(tight, r"^[^.]*\.", ""), F.lit("."), F.lit(""))
+    rest = F.when(F.length(rest) == 1, F.concat(rest, F.lit("0"))).otherwise(F.substring(rest, 1, 2))
+    split = F.concat(F.expr("''"), F.regexp_replace(tight, r"(..)$", ".$1"))
+    shown = F.when(tight.contains("."), F.concat_ws(".", whole, rest)).when(F.length(tight) >= 5, split).otherwise(tight)
+    return shown.try_cast("double")
+
+
+def clean_scalar(text: Column) -> Column:
+    """Output form of a field: white space as single spaces, unknown as an empty text."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+
+
+def clean_product_name(text: Column) -> Column:
+    """Output form of a name: the volume 0.75 in one piece, no space before closing or after opening signs."""
+    name = F.regexp_replace(clean_scalar(text), r"(?U)\b0\s*[,.]\s*75\s*([LlЛл])\b", "0.75$1")
+    name = F.regexp_replace(F.regexp_replace(name, r"(?U)\b0\s+75\s*([LlЛл])\b", "0.75$1"), r"(?U)\b075\s*([LlЛл])\b", "0.75$1")
+    return F.trim(F.regexp_replace(F.regexp_replace(name, r"\s+([,.)])", "$1"), r"([(])\s+", "$1"))
+
+
+def clean_code(text: Column) -> Column:
+    """Output form of a code: its digits, or the absent marker."""
+    plain = clean_scalar(text)
+    return F.when(plain == "нет", plain).otherwise(digits(plain))
+
+
+def kopeck_hint(text: Column) -> Column:
+    """The last two digits of a block that hints at kopecks, `__kopeks__:NN`."""
+    found = digits(text)
+    return F.when(text.startswith("__kopeks__:") & (F.length(found) >= 2), F.right(found, F.lit(2)))
+
+
+def whole_roubles(text: Column) -> Column:
+    """The first run of two to five digits."""
+    return F.regexp_extract(text, r"^\D*(\d{2,5})", 1).try_cast("int")

@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.functions.scalars import digits, expected_price, near, valid_ean13
+from tagloom.functions.scalars import derived_prices, digits, discount_share, expected_price, name_score, near, parse_price, valid_ean13
+from tagloom.schema import ABSENT
 
 
 def unpivot(readings: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -58,16 +59,44 @@ def barcode_vote(long: DataFrame, group: str = "group_id") -> DataFrame:
     return notes.join(winner.select(group, "value", "votes", "source_view"), group, "left")
 
 
-def consistent_price(prices: DataFrame, group: str = "group_id", ratio: float = 0.08) -> DataFrame:
-    """The full price nearest, in whole units, to what card price and discount lead to expect, of those above the card
-    price; ties go to the first.
-
-    prices: group, ord, card, share, full."""
-    expected = expected_price(F.col("card"), F.col("share"))
-    ranked = prices.withColumn("expected", expected).where(
-        (F.col("full") > F.col("card")) & near(F.col("full"), F.col("expected"), ratio)
+def consistent_price(readings: DataFrame, group: str = "group_id") -> DataFrame:
+    """group, price_default, tier: the full price that fits the voted card price and discount.
+
+    Tier 1: the value read that is nearest to what they lead to expect, of those above the card price and near it; 2: the
+    nearest price that digits of a name or full price may mean; 3: the vote, where nothing is expected or fits. Ties go to
+    the better score, then to the first. Groups without a value fall out.
+
+    readings: group, view, ord, score, filled and, as text, price_card, discount_amount, price_default, product_name."""
+    c = F.col
+    fields = ["price_card", "discount_amount", "price_default"]
+    won = field_vote(unpivot(readings, [group, "view", "ord", "score", "filled"], fields), group)
+    voted = won.groupBy(group).agg(*(F.max(F.when(c("field") == f, c("value"))).alias(f"voted_{f}") for f in fields))
+    card, share = parse_price(c("voted_price_card")), discount_share(c("voted_discount_amount"))
+    voted = voted.select(group, "voted_price_default", card.alias("card"), expected_price(card, share).alias("expected"))
+    both = readings.join(voted, group)
+    full = parse_price(c("price_default"))
+    texts = F.concat(*(F.coalesce(derived_prices(c(f), c("expected")), F.array().cast("array<double>")) for f in ("product_name", "price_default")))
+    derived = F.array_min(F.transform(texts, lambda p: F.struct(F.abs(p - c("expected")).alias("off"), p.alias("price"))))
+    off, late = F.abs(full - c("expected")), [(-c("score")).alias("less"), c("ord").alias("ord")]
+    explicit = F.when(
+        (full > F.coalesce(c("card"), F.lit(0.0))) & near(full, c("expected")),
+        F.struct(F.lit(1).alias("tier"), off.alias("off"), *late, full.alias("price")),
     )
-    turn = F.row_number().over(
-        Window.partitionBy(group).orderBy(F.floor(F.abs(F.col("full") - F.col("expected")) + 0.5), "ord")
+    other = F.when(derived.isNotNull(), F.struct(F.lit(2).alias("tier"), derived["off"].alias("off"), *late, derived["price"].alias("price")))
+    best = both.groupBy(group).agg(F.min(F.coalesce(explicit, other)).alias("best"), F.first("voted_price_default").alias("vote"))
+    shown = F.when(c("best").isNotNull(), F.format_string("%.2f", c("best.price"))).otherwise(c("vote"))
+    found = best.select(group, shown.alias("price_default"), F.coalesce(c("best.tier"), F.lit(3)).alias("tier"))
+    return found.where("price_default IS NOT NULL")
+
+
+def best_name(readings: DataFrame, group: str = "group_id") -> DataFrame:
+    """group, product_name, source_view: the usable name that reads best, then of the better reading, then the longest,
+    then the first. A usable name has two words at least and isn't the absent marker.
+
+    readings: group, view, ord, score, product_name."""
+    name = F.trim("product_name")
+    usable = readings.where((name != ABSENT) & (F.size(F.split(name, r"\s+")) >= 2))
+    order = F.struct(name_score(F.col("product_name")), "score", F.length("product_name"), -F.col("ord"))
+    return usable.groupBy(group).agg(
+        F.max_by("product_name", order).alias("product_name"), F.max_by("view", order).alias("source_view")
     )
-    return ranked.withColumn("_turn", turn).where("_turn = 1").select(group, "full", "ord")

@@ -158,56 +158,95 @@ def department_reference(spark, sf_dir):
     return R.choose_reference(runs, table(spark, sf_dir, "part").withColumnRenamed("p_brand", "reference_key"))
 
 
-#: A row and a reference row agree by type and colour word; prices by tolerance; the identifier is the part key.
-_MATCH_SQL = f"""WITH {READINGS_SQL},
-rows AS (SELECT r.group_id, ord, p_brand AS brand, CASE WHEN ord % 3 = 0 THEN l_partkey END AS code, p_type AS kind, p_size AS size, p_retailprice AS price, split_part(p_name, ' ', 1) AS color, p_name AS name
-  FROM r JOIN part ON l_partkey = p_partkey WHERE r.l_linenumber = 1),
-sc AS (SELECT group_id, ord, code IS NOT NULL AND code = p_partkey AS exact_id, p_partkey,
-  CASE WHEN code IS NULL THEN 0 WHEN code = p_partkey THEN 60 ELSE -40 END
-  + CASE WHEN abs(price - p_retailprice) <= 0.01 + 1e-9 THEN 30 WHEN abs(price - p_retailprice) > 20 THEN -20 ELSE 0 END
-  + CASE WHEN size = p_size THEN 20 ELSE -15 END + CASE WHEN color = split_part(p_name, ' ', 1) THEN 8 ELSE 0 END + CASE WHEN kind = p_type THEN 5 ELSE 0 END
-  + CASE WHEN name = p_name THEN 60 ELSE 0 END AS score FROM rows JOIN part ON brand = p_brand),
-tt AS (SELECT *, row_number() OVER w AS place, coalesce(lead(score) OVER w, 0) AS second FROM sc WINDOW w AS (PARTITION BY group_id, ord ORDER BY score DESC, p_partkey))
+#: Readings as rows of a department, parts as its reference. Which fields a reading has, and whether its prices are read
+#: right, depends on the line number.
+_ROWS_SQL = f"""WITH {READINGS_SQL},
+rows AS (SELECT r.group_id, ord, p_brand AS brand, p_name AS name, split_part(p_name, ' ', 1) AS color, p_type AS code, CAST(p_size AS VARCHAR) AS discount,
+  CASE WHEN l_linenumber % 3 = 0 THEN CAST(l_partkey AS VARCHAR) END AS barcode,
+  CASE WHEN l_linenumber % 5 = 0 THEN CAST(l_partkey AS VARCHAR) WHEN l_linenumber = 7 THEN CAST(l_suppkey AS VARCHAR) END AS qr,
+  CASE WHEN l_linenumber = 2 THEN CAST(l_partkey AS VARCHAR) END AS sku,
+  CASE WHEN l_linenumber = 4 THEN p_retailprice + 25 WHEN l_linenumber = 6 AND p_retailprice > 1000 AND p_retailprice < 1190 THEN p_retailprice - 1000 ELSE p_retailprice END AS card,
+  p_retailprice * 1.25 + l_linenumber * 0.5 - 0.5 AS full_price, CASE WHEN l_linenumber = 1 THEN 'нет' ELSE p_brand END AS discounted FROM r JOIN part ON l_partkey = p_partkey),
+looks AS (SELECT DISTINCT * EXCLUDE (group_id, ord) FROM rows),
+ref AS (SELECT p_partkey AS ref_ord, p_brand AS brand, p_name AS ref_name, split_part(p_name, ' ', 1) AS ref_color, p_type AS ref_code, CAST(p_size AS VARCHAR) AS ref_discount,
+  CASE WHEN p_partkey % 10 != 0 THEN CAST(p_partkey AS VARCHAR) END AS ref_id, p_retailprice AS ref_card, p_retailprice * 1.25 AS ref_full, p_brand AS ref_discounted FROM part),
+a AS (SELECT *, coalesce(barcode = ref_id, FALSE) AS bar, barcode IS NOT NULL AND ref_id IS NOT NULL AND barcode != ref_id AS bar_no,
+  coalesce(qr = ref_id, FALSE) AS qr_yes, qr IS NOT NULL AND ref_id IS NOT NULL AND qr != ref_id AS qr_no, coalesce(sku = ref_id, FALSE) AS sku_yes, name = ref_name AS same_name,
+  abs(card - ref_card) <= 0.01 + 1e-9 AS card_yes, full_price >= 1000 AND card > 0 AND card < 200 AS low,
+  full_price >= 1000 AND card > 0 AND card < 200 AND (abs(card - ref_card) <= 0.01 + 1e-9 OR abs(card + CASE WHEN card < 100 THEN 900 ELSE 1000 END - ref_card) <= 0.01 + 1e-9
+    OR abs(card + CASE WHEN card < 100 THEN 1900 ELSE 2000 END - ref_card) <= 0.01 + 1e-9) AS repaired,
+  abs(full_price - ref_full) AS off, discount = ref_discount AS disc, color = ref_color AS col, code = ref_code AS cod, discounted != 'нет' AND discounted = ref_discounted AS dsc,
+  len(list_intersect(list_filter(list_distinct(regexp_extract_all(lower(name), '[a-z0-9]+')), lambda x: length(x) >= 4), list_filter(list_distinct(regexp_extract_all(lower(ref_name), '[a-z0-9]+')), lambda x: length(x) >= 4))) AS shared
+  FROM looks JOIN ref USING (brand)),
+b AS (SELECT *, card_yes OR repaired AS cards, off <= 0.01 + 1e-9 AS full_20, off <= 1 + 1e-9 AS full_12, off <= 5 + 1e-9 AS full_6, NOT card_yes AND NOT low AND abs(card - ref_card) > 20 AS far FROM a),
+sc AS (SELECT *, CASE WHEN bar THEN 60 WHEN bar_no THEN -40 ELSE 0 END + CASE WHEN qr_yes THEN 55 WHEN qr_no THEN -35 ELSE 0 END + CASE WHEN sku_yes THEN 50 ELSE 0 END
+  + CASE WHEN same_name THEN 60 ELSE 0 END + CASE WHEN cards THEN 30 ELSE 0 END - CASE WHEN far THEN 20 ELSE 0 END + CASE WHEN full_20 THEN 20 WHEN full_12 THEN 12 WHEN full_6 THEN 6 ELSE 0 END
+  + CASE WHEN disc THEN 20 ELSE -15 END + CASE WHEN col THEN 8 ELSE 0 END + CASE WHEN dsc THEN 5 ELSE 0 END + CASE WHEN cod THEN 5 ELSE 0 END + least(30, 5 * shared) + CASE WHEN shared >= 2 THEN 10 ELSE 0 END
+  + CASE WHEN same_name AND cards THEN 15 ELSE 0 END + CASE WHEN same_name AND disc THEN 10 ELSE 0 END + CASE WHEN same_name AND full_12 THEN 10 ELSE 0 END AS score FROM b)
+"""
+_LOOK = "brand, name, barcode, qr, sku, card, full_price, discounted"
+_BEST_SQL = _ROWS_SQL + f""", tt AS (SELECT *, score - coalesce(lead(score) OVER w, 0) AS margin, row_number() OVER w AS place FROM sc WINDOW w AS (PARTITION BY {_LOOK}, code, discount ORDER BY score DESC, ref_ord)),
+best AS (SELECT *, CASE WHEN (bar OR qr_yes OR sku_yes) AND NOT bar_no AND NOT qr_no AND margin >= 5 THEN 'high' WHEN bar OR qr_yes OR sku_yes THEN 'medium'
+  WHEN cards AND disc AND col AND full_20 AND margin >= 10 THEN 'high' WHEN cards AND disc AND col AND score >= 55 AND margin >= 35 THEN 'high'
+  WHEN score >= 70 AND margin >= 15 AND same_name AND (cards OR full_12 AND disc) THEN 'high' WHEN score >= 50 AND margin >= 10 THEN 'medium' WHEN score >= 35 THEN 'low' ELSE 'none' END AS confidence
+  FROM tt WHERE place = 1),
+m AS (SELECT r.group_id, r.ord, best.* FROM rows r JOIN best ON {' AND '.join(f"r.{c} IS NOT DISTINCT FROM best.{c}" for c in [*_LOOK.split(", "), "code", "discount"])})
 """
 
 
-def _scored_reference(spark, sf_dir) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    rows = readings(spark, sf_dir).where("l_linenumber = 1").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        "group_id", "ord", F.col("p_brand").alias("reference_key"), F.when(F.col("ord") % 3 == 0, F.col("l_partkey")).alias("barcode"),
-        F.col("p_type").alias("code"), F.col("p_size").cast("string").alias("discount_amount"), F.col("p_retailprice").alias("price_card"),
-        F.split_part("p_name", F.lit(" "), F.lit(1)).alias("color"), F.col("p_name").alias("product_name"),
+def _reference_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    part, c, line = table(spark, sf_dir, "part"), F.col, F.col("l_linenumber")
+    nothing = F.lit(None).cast("string")
+    lost = (line == 6) & (c("p_retailprice") > 1000) & (c("p_retailprice") < 1190)
+    rows = readings(spark, sf_dir).join(part, c("l_partkey") == c("p_partkey")).select(
+        "group_id", "ord", c("p_brand").alias("reference_key"),
+        F.when(line % 3 == 0, c("l_partkey").cast("string")).alias("barcode"),
+        F.when(line % 5 == 0, c("l_partkey").cast("string")).when(line == 7, c("l_suppkey").cast("string")).alias("qr_code_barcode"),
+        F.when(line == 2, c("l_partkey").cast("string")).alias("id_sku"), c("p_name").alias("product_name"),
+        F.when(line == 4, c("p_retailprice") + 25).when(lost, c("p_retailprice") - 1000).otherwise(c("p_retailprice")).alias("price_card"),
+        (c("p_retailprice") * 1.25 + line * 0.5 - 0.5).alias("price_default"), c("p_size").cast("string").alias("discount_amount"),
+        F.split_part("p_name", F.lit(" "), F.lit(1)).alias("color"), F.when(line == 1, "нет").otherwise(c("p_brand")).alias("price_discount"),
+        c("p_type").alias("code"), *(nothing.alias(n) for n in ("additional_info", "special_symbols", "print_datetime")),
     )
+    code = F.when(c("p_partkey") % 10 != 0, c("p_partkey").cast("string"))
     reference = part.select(
-        F.col("p_brand").alias("reference_key"), F.col("p_partkey").alias("ref_id"), F.col("p_partkey").alias("ref_barcode"),
-        F.col("p_type").alias("ref_code"), F.col("p_size").cast("string").alias("ref_discount_amount"), F.col("p_retailprice").alias("ref_price_card"),
-        F.split_part("p_name", F.lit(" "), F.lit(1)).alias("ref_color"), F.col("p_name").alias("ref_product_name"),
+        c("p_brand").alias("reference_key"), c("p_partkey").alias("ref_ord"), code.alias("ref_barcode"), code.alias("ref_id_sku"),
+        nothing.alias("ref_qr_code_barcode"), c("p_name").alias("ref_product_name"), c("p_retailprice").alias("ref_price_card"),
+        (c("p_retailprice") * 1.25).alias("ref_price_default"), c("p_size").cast("string").alias("ref_discount_amount"),
+        F.split_part("p_name", F.lit(" "), F.lit(1)).alias("ref_color"), c("p_brand").alias("ref_price_discount"), c("p_type").alias("ref_code"),
+        *(nothing.alias(f"ref_{n}") for n in ("additional_info", "special_symbols", "print_datetime")),
     )
-    return R.score_reference(rows, reference)
+    return rows, reference
 
 
-@query(_MATCH_SQL + "SELECT group_id, ord, p_partkey AS ref_id, CAST(score AS BIGINT) AS score FROM sc")
+@query(_ROWS_SQL + """SELECT brand, ref_ord, CAST(score AS BIGINT) AS score, CAST(count(*) AS BIGINT) AS n FROM sc GROUP BY ALL""")
 def reference_score(spark, sf_dir):
-    return _scored_reference(spark, sf_dir).select("group_id", "ord", "ref_id", F.col("score").cast("long").alias("score"))
-
-
-_CONF_SQL = """CASE WHEN exact_id AND score - second >= 5 THEN 'high' WHEN exact_id THEN 'medium' WHEN score >= 70 AND score - second >= 15 THEN 'high'
-WHEN score >= 50 AND score - second >= 10 THEN 'medium' WHEN score >= 35 THEN 'low' ELSE 'none' END"""
+    """How many distinct combinations of features have each score with each reference row."""
+    rows, reference = _reference_sides(spark, sf_dir)
+    scored = R.score_reference(rows, reference).join(reference.select("ref_ord", F.col("reference_key").alias("brand")), "ref_ord")
+    return scored.groupBy("brand", "ref_ord", F.col("score").cast("long").alias("score")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_MATCH_SQL + f"SELECT group_id, ord, p_partkey AS ref_id, CAST(score AS BIGINT) AS score, CAST(score - second AS BIGINT) AS margin, {_CONF_SQL} AS confidence FROM tt WHERE place = 1")
+@query(_BEST_SQL + "SELECT group_id, ord, ref_ord AS ref_id, CAST(score AS BIGINT) AS score, CAST(margin AS BIGINT) AS margin, confidence FROM m")
 def reference_match(spark, sf_dir):
-    best = R.match_reference(_scored_reference(spark, sf_dir), ["group_id", "ord"])
-    return best.select("group_id", "ord", "ref_id", F.col("score").cast("long"), F.col("margin").cast("long"), "confidence")
-
-
-@query(_MATCH_SQL + f""", b AS (SELECT group_id, ord, p_partkey, {_CONF_SQL} AS confidence FROM tt WHERE place = 1)
-SELECT b.group_id, b.ord, CASE WHEN confidence IN ('high', 'medium') AND code IS NULL THEN p_partkey WHEN confidence = 'high' THEN p_partkey ELSE code END AS barcode,
-confidence IN ('high', 'medium') AND code IS NULL OR confidence = 'high' AND code != p_partkey AS changed FROM b JOIN rows USING (group_id, ord)""")
+    best = R.match_reference(*_reference_sides(spark, sf_dir))
+    return best.select("group_id", "ord", F.col("ref_ord").alias("ref_id"), F.col("score").cast("long"), F.col("margin").cast("long"), "confidence")
+
+
+@query(_BEST_SQL + """, e AS (SELECT *, confidence = 'high' AND ref_id IS NOT NULL OR confidence = 'medium' AND ref_id IS NOT NULL AND barcode IS NULL AS fill_bar,
+  confidence = 'high' AND ref_id IS NOT NULL OR confidence = 'medium' AND ref_id IS NOT NULL AND sku IS NULL AS fill_sku FROM m),
+f AS (SELECT *, CASE WHEN fill_bar THEN ref_id ELSE barcode END AS new_bar, CASE WHEN fill_sku THEN ref_id ELSE sku END AS new_sku, CASE WHEN confidence = 'high' THEN ref_card ELSE card END AS new_card FROM e)
+SELECT group_id, ord, new_bar AS barcode, new_sku AS id_sku, new_card AS price_card, CASE WHEN confidence = 'high' THEN ref_discounted ELSE discounted END AS price_discount,
+array_to_string(list_sort(list_filter([CASE WHEN new_bar IS DISTINCT FROM barcode THEN 'barcode' END, CASE WHEN new_sku IS DISTINCT FROM sku THEN 'id_sku' END, CASE WHEN new_card != card THEN 'price_card' END,
+  CASE WHEN confidence = 'high' AND ref_full != full_price THEN 'price_default' END, CASE WHEN confidence = 'high' AND ref_discounted != discounted THEN 'price_discount' END, CASE WHEN confidence = 'high' AND ref_name != name THEN 'product_name' END,
+  CASE WHEN confidence = 'high' AND ref_color != color THEN 'color' END, CASE WHEN confidence = 'high' AND ref_discount != discount THEN 'discount_amount' END, CASE WHEN confidence IN ('high', 'medium') AND ref_code != code AND confidence = 'high' THEN 'code' END], lambda x: x IS NOT NULL)), ',') AS changed,
+confidence IN ('high', 'medium') AND ref_id IS NULL AS code_skipped FROM f""")
 def reference_enrich(spark, sf_dir):
-    best = R.match_reference(_scored_reference(spark, sf_dir), ["group_id", "ord"])
-    value = R.enriched(F.col("barcode"), F.col("ref_barcode"), F.col("confidence"))
-    return best.select("group_id", "ord", value.alias("barcode"), (~value.eqNullSafe(F.col("barcode"))).alias("changed"))
+    made = R.enrich_reference(R.match_reference(*_reference_sides(spark, sf_dir)))
+    return made.select(
+        "group_id", "ord", "barcode", "id_sku", "price_card", "price_discount",
+        F.array_join(F.array_sort("changed"), ",").alias("changed"), F.array_contains("skipped", "barcode").alias("code_skipped"),
+    )
 
 
 @query()

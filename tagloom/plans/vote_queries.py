@@ -73,27 +73,56 @@ def best_reading(spark, sf_dir):
     return votes.best_reading(readings(spark, sf_dir), "group_id", order).select("group_id", "view", "score", "filled")
 
 
-_PRICES_SQL = f"""WITH {READINGS_SQL},
-p AS (SELECT group_id, ord, round(l_extendedprice * (1 - l_discount), 2) AS card, round(l_discount, 2) AS share,
-  round(l_extendedprice + (l_partkey % 7) * 10.0, 2) AS full_price FROM r)
+_ENDS = "0, 9, 17, 19, 21, 47, 51, 78, 79, 89, 90, 95, 99"
+_PRICE_TEXTS_SQL = f"""WITH {READINGS_SQL},
+p AS (SELECT group_id, view, ord, score, filled, CAST(CAST(floor(l_extendedprice * (1 - l_discount)) AS BIGINT) AS VARCHAR) AS card, CAST(CAST(round(l_discount * 100) AS INTEGER) AS VARCHAR) AS disc,
+  CASE WHEN l_partkey % 3 != 0 THEN CAST(CAST(floor(l_extendedprice) AS BIGINT) + l_partkey % 7 * 100 AS VARCHAR) END AS full_text, concat('box ', CAST(CAST(floor(l_extendedprice / 10) AS BIGINT) AS VARCHAR)) AS name FROM r),
+l AS (SELECT group_id, score, filled, ord, 'card' AS field, card AS value FROM p UNION ALL SELECT group_id, score, filled, ord, 'disc', disc FROM p UNION ALL SELECT group_id, score, filled, ord, 'full', full_text FROM p WHERE full_text IS NOT NULL),
+c AS (SELECT group_id, field, value, count(*) AS votes, max(score) AS score, max(filled) AS filled, min(ord) AS ord FROM l GROUP BY ALL),
+won AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY group_id, field ORDER BY votes DESC, score DESC, filled DESC, ord) = 1),
+v AS (SELECT group_id, CAST(max(CASE WHEN field = 'card' THEN value END) AS DOUBLE) AS card, CAST(max(CASE WHEN field = 'disc' THEN value END) AS INTEGER) AS disc, max(CASE WHEN field = 'full' THEN value END) AS vote FROM won GROUP BY 1),
+x AS (SELECT group_id, card, vote, CASE WHEN card > 0 AND disc BETWEEN 1 AND 99 THEN card / (1 - disc / 100) END AS expected FROM v),
+y AS (SELECT p.group_id, p.score, p.ord, p.name, p.full_text, CAST(p.full_text AS DOUBLE) AS full_price, x.card, expected FROM p JOIN x USING (group_id)),
+d AS (SELECT group_id, score, ord, expected, regexp_replace(t, '[^0-9]', '', 'g') AS digits FROM (SELECT *, name AS t FROM y UNION ALL SELECT *, full_text FROM y WHERE full_text IS NOT NULL)),
+w AS (SELECT group_id, score, ord, expected, CAST(substr(digits, CAST(i AS INTEGER), 4) AS INTEGER) AS whole FROM d, unnest(range(1, greatest(1, length(digits) - 2))) AS u(i)),
+e AS (SELECT group_id, score, ord, 1 AS tier, abs(full_price - expected) AS off, full_price AS price FROM y WHERE full_price > card AND abs(full_price - expected) <= greatest(30, expected * 0.08)
+  UNION ALL SELECT group_id, score, ord, 2, abs(round(whole + k / 100, 2) - expected), round(whole + k / 100, 2) FROM w, unnest([{_ENDS}]) AS z(k) WHERE whole >= 1000 AND abs(round(whole + k / 100, 2) - expected) <= greatest(30, expected * 0.05)),
+f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY tier, off, score DESC, ord) = 1)
 """
 
 
-@query(_PRICES_SQL + """SELECT group_id, full_price AS price_default, ord FROM p
-WHERE card > 0 AND share BETWEEN 0.01 AND 0.99 AND full_price > card
-  AND abs(full_price - card / (1 - share)) <= greatest(30, card / (1 - share) * 0.08)
-QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY floor(abs(full_price - card / (1 - share)) + 0.5), ord) = 1""")
+@query(_PRICE_TEXTS_SQL + """SELECT group_id, coalesce(printf('%.2f', price), vote) AS price_default, CAST(coalesce(tier, 3) AS INTEGER) AS tier FROM x LEFT JOIN f USING (group_id) WHERE coalesce(printf('%.2f', price), vote) IS NOT NULL""")
 def consistent_price(spark, sf_dir):
-    prices = readings(spark, sf_dir).select(
-        "group_id", "ord",
-        F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).alias("card"),
-        F.round("l_discount", 2).alias("share"),
-        F.round(F.col("l_extendedprice") + F.col("l_partkey") % 7 * 10.0, 2).alias("full"),
+    return votes.consistent_price(_label_prices(spark, sf_dir))
+
+
+def _label_prices(spark, sf_dir) -> DataFrame:
+    """Readings with prices as text: a third have no full price, a name may hold digits of one."""
+    whole = lambda c: F.floor(c).cast("long").cast("string")
+    price = F.col("l_extendedprice")
+    full = (F.floor(price) + F.col("l_partkey") % 7 * 100).cast("string")
+    return readings(spark, sf_dir).select(
+        "group_id", "view", "ord", "score", "filled",
+        whole(price * (1 - F.col("l_discount"))).alias("price_card"),
+        F.round(F.col("l_discount") * 100).cast("int").cast("string").alias("discount_amount"),
+        F.when(F.col("l_partkey") % 3 != 0, full).alias("price_default"),
+        F.concat(F.lit("box "), whole(price / 10)).alias("product_name"),
     )
-    return votes.consistent_price(prices).select("group_id", F.col("full").alias("price_default"), "ord")
 
 
-_ENDS = ", ".join(str(k) for k in S.KOPECKS)
+@query(f"""WITH {READINGS_SQL}, n AS (SELECT group_id, view, ord, score, CASE WHEN l_linenumber = 3 THEN 'нет' WHEN l_linenumber % 2 = 0 THEN p_name ELSE concat(upper(p_name), ' #', l_linenumber, ' x') END AS name
+  FROM r JOIN part ON l_partkey = p_partkey),
+w AS (SELECT *, regexp_extract_all(name, '[A-Za-z0-9][A-Za-z0-9./-]*') AS words, len(regexp_extract_all(name, '[A-Za-z]')) AS letters, 1 - len(regexp_extract_all(name, '[A-Za-z0-9\\s.,()/-]')) / length(name) AS odd,
+  len(regexp_extract_all(name, '#')) AS junk FROM n WHERE name != 'нет' AND len(string_split(name, ' ')) >= 2),
+s AS (SELECT *, greatest(letters * 0.1::DOUBLE + len(list_filter(words, lambda x: length(x) >= 3)) + CASE WHEN letters > 0 THEN 2.0 ELSE 0.0 END
+  + least(len(list_filter(words, lambda x: length(x) >= 3 AND regexp_matches(x, '[A-Za-z]') AND upper(x) = x)), 4) * 0.5::DOUBLE - junk * 1.5::DOUBLE - CASE WHEN odd > 0.3 THEN odd * 10 ELSE 0.0 END
+  - CASE WHEN len(list_filter(words, lambda x: length(x) = 1)) / len(words) > 0.35 THEN 3.0 ELSE 0.0 END, 0) AS reads FROM w)
+SELECT group_id, name AS product_name, view AS source_view FROM s QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY reads DESC, score DESC, length(name) DESC, ord) = 1""")
+def best_name(spark, sf_dir):
+    name = F.when(F.col("l_linenumber") == 3, "нет").when(F.col("l_linenumber") % 2 == 0, F.col("p_name"))
+    name = name.otherwise(F.concat(F.upper("p_name"), F.lit(" #"), F.col("l_linenumber").cast("string"), F.lit(" x")))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    return votes.best_name(readings(spark, sf_dir).join(parts, "l_partkey").withColumn("product_name", name))
 
 
 @query(f"""WITH {READINGS_SQL},
