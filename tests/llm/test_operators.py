@@ -213,6 +213,39 @@ def test_near(docs, spark):
     assert near_dedup.near_classes(rows.limit(0)).count() == 0
 
 
+def test_near_recall(spark):
+    """All pairs of whole texts by brute force: the same classes."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    weights = near_dedup.Weights(*near_dedup.document_frequencies(rows))
+    texts = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
+    where, own, total = collections.defaultdict(list), {}, {}
+    for i, text in sorted(texts.items()):
+        _, value, times = near_dedup.shingles([text], near_dedup.SHINGLE)
+        own[i] = dict(zip(value.tolist(), weights.of(value, times).tolist(), strict=True))
+        total[i] = sum(own[i].values())
+        for v in own[i]:
+            where[v].append(i)
+    both = collections.Counter()
+    for v, ids in where.items():
+        for i, j in itertools.combinations(ids, 2):
+            both[i, j] += min(own[i][v], own[j][v])
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = 0
+    for (i, j), shared in both.items():
+        if shared >= 0.8 * (total[i] + total[j] - shared) - 1e-9:
+            links += 1
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    assert links > 50
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(rows).collect()} == {i: find(i) for i in texts}
+
+
 def test_near_template(spark, monkeypatch):
     """Pairs of 0.82 among texts of one template, strangers of 0.78: as all pairs compared."""
     monkeypatch.setattr(near_dedup, "TILE", 40, raising=False)
@@ -372,3 +405,24 @@ def test_toxicity_held_out(spark):
     got = toxicity.score_toxicity(own, labels).where("held_out").join(labels.select("doc_id", "toxic"), "doc_id")
     n = {(r["toxic"], r["predicted"]): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
     assert n[1, 1] >= 0.9 * (n[1, 1] + n[1, 0]) and n.get((0, 1), 0) <= 0.02 * n[0, 0]
+
+
+def test_pipeline(spark, tmp_path):
+    """Stage by stage: what each drops is what its operator says, nulls, empty texts and repeated rows included."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(200)]
+    texts = ["Fine text " + " ".join(words[:60]), "fine TEXT " + " ".join(words[:60]), " ".join([*words[60:160], "x"]), " ".join(words[60:160])]
+    texts += [None, "", "", "you idiot", "quite long " * 120_000, " ".join(words[170:190])]
+    labelled = [(1000 + i, f"fine text number {i} with {'idiot' if i % 3 == 0 else 'person'} and words {i * 7} {i * 11} here") for i in range(300)]
+    docs = [(i, t, "en", "s", len(t or "")) for i, t in [*enumerate(texts), (9, texts[9]), *labelled]]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int((i - 1000) % 3 == 0)) for i in range(1000, 1300)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(words[170:190]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = sorted(r["doc_id"] for r in got if r["doc_id"] < 1000)
+    # 0 equals 1, 2 is near 3 and of a lesser id, 4 to 6 are empty, 7 is toxic, 9 holds the benchmark's item
+    assert kept == [1, 2, 6, 8]
+    assert not {r["doc_id"] for r in got} & {i for i, _ in labelled if (i - 1000) % 3 == 0}
+    own = {i: (t or "") for i, t, *_ in docs}
+    assert all(r["decoded_sha256"] == hashlib.sha256(own[r["doc_id"]].encode()).hexdigest() for r in got)
