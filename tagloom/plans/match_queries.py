@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.functions import boxes as B
+from tagloom.functions import names as N
 from tagloom.functions import scalars as S
 from tagloom.operators import catalog as C
 from tagloom.operators import reference as R
@@ -264,5 +266,79 @@ def reference_match_fuzzy(spark, sf_dir):
 def token_snap(spark, sf_dir):
     """Distinct tokens of part names with a character lost, snapped to the words of the names."""
     tokens = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
-    broken = tokens.select(F.expr("concat(substr(word, 1, 2), substr(word, 4))").alias("token"), F.lit(1).alias("k"))
-    return R.similar_names(broken, tokens.withColumn("k", F.lit(1)), "k", "token", "word", 0.82).select("token", "word", "similarity")
+    broken = tokens.select(F.expr("concat(substr(word, 1, 2), substr(word, 4))").alias("token"))
+    return R.similar_names(broken, tokens, None, "token", "word", 0.82).select("token", "word", "similarity")
+
+
+@query()
+def product_tokens(spark, sf_dir):
+    """Corrected tokens of all part names, with a misspelt word before each."""
+    words = F.array(*(F.lit(w) for w in ("Preigne", "sauvignom", "вино", "jardins", "0,75 L", "x", "charme")))
+    name = F.concat_ws(" ", F.get(words, (F.col("p_partkey") % 7).cast("int")), "p_name")
+    return N.product_tokens(table(spark, sf_dir, "part").select("p_partkey", name.alias("name")), "p_partkey", "name")
+
+
+_LABEL_PRICE = "CASE l_linenumber % 5 WHEN 0 THEN concat(kop // 100, 'р', kop % 100 // 10) WHEN 1 THEN concat(' ', kop // 100, ',', lpad(CAST(kop % 100 AS VARCHAR), 2, '0'), '7') WHEN 2 THEN concat(kop // 1000, ' ', kop % 1000) WHEN 3 THEN concat(kop // 100 % 1000, '₽') ELSE 'x1' END"
+
+
+@query(f"""WITH p AS (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS kop FROM lineitem), t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, kop,
+translate(regexp_replace(trim({_LABEL_PRICE}), '\\s+', '', 'g'), ',рРpP₽', '......') AS t FROM p),
+u AS (SELECT *, replace(regexp_replace(t, '^[^.]*\\.', ''), '.', '') AS rest FROM t)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, kop, TRY_CAST(CASE WHEN contains(t, '.') THEN concat(split_part(t, '.', 1), '.', CASE WHEN length(rest) = 1 THEN rest || '0' ELSE substr(rest, 1, 2) END)
+WHEN length(t) >= 5 THEN concat(substr(t, 1, length(t) - 2), '.', right(t, 2)) ELSE t END AS DOUBLE) AS price FROM u""")
+def price_texts(spark, sf_dir):
+    """Prices as they are read off labels, as numbers."""
+    kop, line = F.col("kop"), F.col("l_linenumber") % 5
+    text = lambda c: c.cast("long").cast("string")
+    shown = (
+        F.when(line == 0, F.concat(text(F.floor(kop / 100)), F.lit("р"), text(F.floor(kop % 100 / 10))))
+        .when(line == 1, F.concat(F.lit(" "), text(F.floor(kop / 100)), F.lit(","), F.lpad(text(kop % 100), 2, "0"), F.lit("7")))
+        .when(line == 2, F.concat(text(F.floor(kop / 1000)), F.lit(" "), text(kop % 1000)))
+        .when(line == 3, F.concat(text(F.floor(kop / 100) % 1000), F.lit("₽")))
+        .otherwise("x1")
+    )
+    rows = table(spark, sf_dir, "lineitem").withColumn("kop", F.round(F.col("l_extendedprice") * 100).cast("long"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "kop", S.price_text(shown).alias("price"))
+
+
+@query("""WITH n AS (SELECT p_partkey, concat(' ', p_name, chr(10), '( ', p_brand, ' ) ', CASE p_partkey % 4 WHEN 0 THEN '0 , 75 L' WHEN 1 THEN '075л' WHEN 2 THEN '0 75  l' ELSE '' END, ' , x ') AS raw,
+  CASE WHEN p_partkey % 5 = 0 THEN ' нет ' ELSE concat('4 600-', p_partkey) END AS code FROM part),
+s AS (SELECT p_partkey, code, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS t FROM n),
+v AS (SELECT p_partkey, code, CASE p_partkey % 4 WHEN 0 THEN replace(t, '0 , 75 L', '0.75L') WHEN 1 THEN replace(t, '075л', '0.75л') WHEN 2 THEN replace(t, '0 75 l', '0.75l') ELSE t END AS t FROM s)
+SELECT p_partkey, replace(replace(replace(t, ' ,', ','), ' )', ')'), '( ', '(') AS product_name, CASE WHEN p_partkey % 5 = 0 THEN 'нет' ELSE concat('4600', p_partkey) END AS barcode FROM v""")
+def output_clean(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    volume = F.when(F.col("p_partkey") % 4 == 0, "0 , 75 L").when(F.col("p_partkey") % 4 == 1, "075л").when(F.col("p_partkey") % 4 == 2, "0 75  l").otherwise("")
+    raw = F.concat(F.lit(" "), "p_name", F.lit("\n( "), "p_brand", F.lit(" ) "), volume, F.lit(" , x "))
+    code = F.when(F.col("p_partkey") % 5 == 0, " нет ").otherwise(F.concat(F.lit("4 600-"), F.col("p_partkey").cast("string")))
+    return part.select("p_partkey", S.clean_product_name(raw).alias("product_name"), S.clean_code(code).alias("barcode"))
+
+
+@query("""WITH m AS (SELECT event_id, CAST(event_id % 90 AS DOUBLE) AS x, CAST(event_id % 70 AS DOUBLE) AS y, CAST(event_id % 37 AS DOUBLE) AS w, event_id % 6 AS kind FROM events),
+e AS (SELECT event_id, CASE WHEN kind = 5 THEN NULL ELSE x END AS x_min, CASE WHEN kind = 5 THEN NULL ELSE y END AS y_min, CASE WHEN kind = 5 THEN NULL ELSE x + w - 4 END AS x_max, CASE WHEN kind = 5 THEN NULL ELSE y + w END AS y_max FROM m)
+SELECT event_id, x_min, y_min, x_max, y_max, greatest(0, x_max - x_min) * greatest(0, y_max - y_min) AS area, (x_min + x_max) / 2 AS center_x FROM e WHERE x_min IS NOT NULL
+UNION ALL SELECT event_id, NULL, NULL, NULL, NULL, NULL, NULL FROM e WHERE x_min IS NULL""")
+def view_boxes(spark, sf_dir):
+    """Boxes of views from metadata of five shapes, and metadata without a box."""
+    x, y, w, kind = F.col("event_id") % 90, F.col("event_id") % 70, F.col("event_id") % 37, F.col("event_id") % 6
+    edges = [c.cast("string") for c in (x, y, x + w - 4, y + w)]
+    shapes = (
+        '{"bbox": {"x_min": %s, "y_min": %s, "x_max": %s, "y_max": %s}, "x_min": 7}', '{"bbox": [%s, %s, "%s", %s]}',
+        '{"bbox": [1, 2], "bbox_xyxy": {"x1": %s, "y1": %s, "x2": %s, "y_max": %s}}', '{"bbox_xyxy": [%s, %s, %s, %s]}',
+        '{"x_min": %s, "y_min": %s, "x_max": %s, "y_max": %s, "bbox": null}',
+    )
+    text = F.lit('{"bbox": {"x": 3}}')
+    for i, shape in enumerate(shapes):
+        text = F.when(kind == i, F.format_string(shape, *edges)).otherwise(text)
+    found = B.box(text)
+    shown = B.geometry(found)
+    return table(spark, sf_dir, "events").select("event_id", *(c.alias(n) for n, c in found.items()), shown["area"].alias("area"), shown["center_x"].alias("center_x"))
+
+
+@query("""WITH f AS (SELECT user_id, event_type, min(ts) AS first_ts, min(event_id) AS first_id FROM events GROUP BY ALL)
+SELECT user_id, string_agg(event_type, ' | ' ORDER BY first_ts, first_id) AS notes FROM f GROUP BY 1""")
+def ordered_notes(spark, sf_dir):
+    """Distinct notes of a group in the order in which they were first seen."""
+    first = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("first_ts"), F.min("event_id").alias("first_id"))
+    listed = F.array_sort(F.collect_list(F.struct("first_ts", "first_id", "event_type")))["event_type"]
+    return first.groupBy("user_id").agg(F.array_join(listed, " | ").alias("notes"))
