@@ -11,13 +11,16 @@ from tagloom.llm import (
     bpe,
     decontaminate,
     exact_dedup,
+    fim,
     html_text,
+    mixing,
     near_dedup,
     secrets,
     substring_dedup,
     suffix_dedup,
     token_files,
     toxicity,
+    variants,
 )
 from tagloom.llm.common import table, work_path
 
@@ -66,6 +69,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op11_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,6 +94,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_secret_scan,
         op10_byte_bpe,
+        op11_mix,
+        op12_spelling_variants,
+        op13_fill_in_middle,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_mix": mixing.ORACLE_SQL,
+    "op13_fill_in_middle": fim.ORACLE_SQL,
+}
