@@ -85,7 +85,7 @@ def derived_prices(text: Column, expected: Column) -> Column:
 
 
 def suspiciously_low(card: Column, full: Column, discount: Column) -> Column:
-    return (full >= 1000) & (card > 0) & (card < 200) & discount.isNotNull()
+    return (full >= 1000) & (card > 0) & (card < 200) & discount.isNotNull() & ~F.trim(discount).isin("", "нет")
 
 
 def repair_variants(price: Column) -> Column:

@@ -10,6 +10,7 @@ from tagloom.functions import names as N
 from tagloom.functions import scalars as S
 from tagloom.operators import catalog as C
 from tagloom.operators import reference as R
+from tagloom.operators import similar
 from tagloom.plans.stand_ins import READINGS_SQL, readings, table
 
 QUERIES: dict = {}
@@ -160,27 +161,42 @@ def department_reference(spark, sf_dir):
     return R.choose_reference(runs, table(spark, sf_dir, "part").withColumnRenamed("p_brand", "reference_key"))
 
 
-#: Readings as rows of a department, parts as its reference; of their names only 'cold widget' and 'old widget' are alike
-#: (0.952) without being equal. Which fields a reading has, and whether its prices are read
-#: right, depends on the line number.
+#: Readings as rows of a department, parts as its reference. Which fields a reading has, and how its name and prices are
+#: misread, depends on the line number. Names that are alike without being equal differ by one edit here.
+_REF_NAME = "concat(p_name, CASE p_partkey % 4 WHEN 0 THEN ' 0.75l' WHEN 1 THEN ' preignes' WHEN 2 THEN ' желтый' ELSE '' END)"
+_READ_NAME = f"""CASE l_linenumber WHEN 1 THEN concat(upper({_REF_NAME}), ' ') WHEN 2 THEN replace({_REF_NAME}, '0.75l', '0, 75 L') WHEN 3 THEN concat('вино ', {_REF_NAME})
+  WHEN 4 THEN replace({_REF_NAME}, 'preignes', 'pneignes') WHEN 5 THEN concat('#', replace({_REF_NAME}, ' ', ' ; ')) WHEN 6 THEN replace({_REF_NAME}, 'желтый', 'жёлтый') ELSE {_REF_NAME} END"""
+
+
+def _normal_sql(name: str) -> str:
+    plain = f"regexp_replace(regexp_replace(replace(lower({name}), 'ё', 'е'), '[#@>={{}}\\[\\]|;]', ' ', 'g'), '\\s+', ' ', 'g')"
+    return f"trim(regexp_replace({plain}, '\\b0\\s*[,.]?\\s*75\\s*l\\b', '0.75l', 'g'))"
+
+
+def _tokens_sql(name: str) -> str:
+    tokens = f"list_transform(regexp_extract_all({name}, '[a-zа-я0-9]+(?:[./-][a-zа-я0-9]+)*'), lambda t: CASE t WHEN 'pneignes' THEN 'preignes' ELSE t END)"
+    return f"list_filter(list_distinct({tokens}), lambda t: length(t) >= 4 AND t NOT IN ('вино', 'сухое') AND regexp_matches(t, '[a-zа-я]'))"
+
+
+_ALIKE_SQL = "levenshtein(norm, ref_norm) = 1 AND CASE WHEN length(norm) = length(ref_norm) THEN (length(norm) - 1) / length(norm) ELSE 2.0 * least(length(norm), length(ref_norm)) / (length(norm) + length(ref_norm)) END >= 0.95"
 _ROWS_SQL = f"""WITH {READINGS_SQL},
-rows AS (SELECT r.group_id, ord, p_brand AS brand, p_name AS name, split_part(p_name, ' ', 1) AS color, p_type AS code, CAST(p_size AS VARCHAR) AS discount,
+rows AS (SELECT r.group_id, ord, p_brand AS brand, {_READ_NAME} AS name, {_normal_sql(_READ_NAME)} AS norm, split_part(p_name, ' ', 1) AS color, p_type AS code, CAST(p_size AS VARCHAR) AS discount,
   CASE WHEN l_linenumber % 3 = 0 THEN CAST(l_partkey AS VARCHAR) END AS barcode,
   CASE WHEN l_linenumber % 5 = 0 THEN CAST(l_partkey AS VARCHAR) WHEN l_linenumber = 7 THEN CAST(l_suppkey AS VARCHAR) END AS qr,
   CASE WHEN l_linenumber = 2 THEN CAST(l_partkey AS VARCHAR) END AS sku,
   CASE WHEN l_linenumber = 4 THEN p_retailprice + 25 WHEN l_linenumber = 6 AND p_retailprice > 1000 AND p_retailprice < 1190 THEN p_retailprice - 1000 ELSE p_retailprice END AS card,
   p_retailprice * 1.25 + l_linenumber * 0.5 - 0.5 AS full_price, CASE WHEN l_linenumber = 1 THEN 'нет' ELSE p_brand END AS discounted FROM r JOIN part ON l_partkey = p_partkey),
 looks AS (SELECT DISTINCT * EXCLUDE (group_id, ord) FROM rows),
-ref AS (SELECT p_partkey AS ref_ord, p_brand AS brand, p_name AS ref_name, split_part(p_name, ' ', 1) AS ref_color, p_type AS ref_code, CAST(p_size AS VARCHAR) AS ref_discount,
+ref AS (SELECT p_partkey AS ref_ord, p_brand AS brand, {_REF_NAME} AS ref_name, {_normal_sql(_REF_NAME)} AS ref_norm, split_part(p_name, ' ', 1) AS ref_color, p_type AS ref_code, CAST(p_size AS VARCHAR) AS ref_discount,
   CASE WHEN p_partkey % 10 != 0 THEN CAST(p_partkey AS VARCHAR) END AS ref_id, p_retailprice AS ref_card, p_retailprice * 1.25 AS ref_full, p_brand AS ref_discounted FROM part),
 a AS (SELECT *, coalesce(barcode = ref_id, FALSE) AS bar, barcode IS NOT NULL AND ref_id IS NOT NULL AND barcode != ref_id AS bar_no,
-  coalesce(qr = ref_id, FALSE) AS qr_yes, qr IS NOT NULL AND ref_id IS NOT NULL AND qr != ref_id AS qr_no, coalesce(sku = ref_id, FALSE) AS sku_yes, name = ref_name AS exact_name,
-  name = ref_name OR name = 'cold widget' AND ref_name = 'old widget' OR name = 'old widget' AND ref_name = 'cold widget' AS same_name,
+  coalesce(qr = ref_id, FALSE) AS qr_yes, qr IS NOT NULL AND ref_id IS NOT NULL AND qr != ref_id AS qr_no, coalesce(sku = ref_id, FALSE) AS sku_yes, norm = ref_norm AS exact_name,
+  norm = ref_norm OR {_ALIKE_SQL} AS same_name,
   abs(card - ref_card) <= 0.01 + 1e-9 AS card_yes, full_price >= 1000 AND card > 0 AND card < 200 AS low,
   full_price >= 1000 AND card > 0 AND card < 200 AND (abs(card - ref_card) <= 0.01 + 1e-9 OR abs(card + CASE WHEN card < 100 THEN 900 ELSE 1000 END - ref_card) <= 0.01 + 1e-9
     OR abs(card + CASE WHEN card < 100 THEN 1900 ELSE 2000 END - ref_card) <= 0.01 + 1e-9) AS repaired,
   abs(full_price - ref_full) AS off, discount = ref_discount AS disc, color = ref_color AS col, code = ref_code AS cod, discounted != 'нет' AND discounted = ref_discounted AS dsc,
-  len(list_intersect(list_filter(list_distinct(regexp_extract_all(lower(name), '[a-z0-9]+')), lambda x: length(x) >= 4), list_filter(list_distinct(regexp_extract_all(lower(ref_name), '[a-z0-9]+')), lambda x: length(x) >= 4))) AS shared
+  len(list_intersect({_tokens_sql("norm")}, {_tokens_sql("ref_norm")})) AS shared
   FROM looks JOIN ref USING (brand)),
 b AS (SELECT *, card_yes OR repaired AS cards, off <= 0.01 + 1e-9 AS full_20, off <= 1 + 1e-9 AS full_12, off <= 5 + 1e-9 AS full_6, NOT card_yes AND NOT low AND abs(card - ref_card) > 20 AS far FROM a),
 sc AS (SELECT *, CASE WHEN bar THEN 60 WHEN bar_no THEN -40 ELSE 0 END + CASE WHEN qr_yes THEN 55 WHEN qr_no THEN -35 ELSE 0 END + CASE WHEN sku_yes THEN 50 ELSE 0 END
@@ -201,12 +217,13 @@ m AS (SELECT r.group_id, r.ord, best.* FROM rows r JOIN best ON {' AND '.join(f"
 def _reference_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     part, c, line = table(spark, sf_dir, "part"), F.col, F.col("l_linenumber")
     nothing = F.lit(None).cast("string")
+    name, read = F.expr(_REF_NAME), F.expr(_READ_NAME)
     lost = (line == 6) & (c("p_retailprice") > 1000) & (c("p_retailprice") < 1190)
     rows = readings(spark, sf_dir).join(part, c("l_partkey") == c("p_partkey")).select(
         "group_id", "ord", c("p_brand").alias("reference_key"),
         F.when(line % 3 == 0, c("l_partkey").cast("string")).alias("barcode"),
         F.when(line % 5 == 0, c("l_partkey").cast("string")).when(line == 7, c("l_suppkey").cast("string")).alias("qr_code_barcode"),
-        F.when(line == 2, c("l_partkey").cast("string")).alias("id_sku"), c("p_name").alias("product_name"),
+        F.when(line == 2, c("l_partkey").cast("string")).alias("id_sku"), read.alias("product_name"),
         F.when(line == 4, c("p_retailprice") + 25).when(lost, c("p_retailprice") - 1000).otherwise(c("p_retailprice")).alias("price_card"),
         (c("p_retailprice") * 1.25 + line * 0.5 - 0.5).alias("price_default"), c("p_size").cast("string").alias("discount_amount"),
         F.split_part("p_name", F.lit(" "), F.lit(1)).alias("color"), F.when(line == 1, "нет").otherwise(c("p_brand")).alias("price_discount"),
@@ -215,7 +232,7 @@ def _reference_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     code = F.when(c("p_partkey") % 10 != 0, c("p_partkey").cast("string"))
     reference = part.select(
         c("p_brand").alias("reference_key"), c("p_partkey").alias("ref_ord"), code.alias("ref_barcode"), code.alias("ref_id_sku"),
-        nothing.alias("ref_qr_code_barcode"), c("p_name").alias("ref_product_name"), c("p_retailprice").alias("ref_price_card"),
+        nothing.alias("ref_qr_code_barcode"), name.alias("ref_product_name"), c("p_retailprice").alias("ref_price_card"),
         (c("p_retailprice") * 1.25).alias("ref_price_default"), c("p_size").cast("string").alias("ref_discount_amount"),
         F.split_part("p_name", F.lit(" "), F.lit(1)).alias("ref_color"), c("p_brand").alias("ref_price_discount"), c("p_type").alias("ref_code"),
         *(nothing.alias(f"ref_{n}") for n in ("additional_info", "special_symbols", "print_datetime")),
@@ -259,7 +276,7 @@ def reference_match_fuzzy(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     rows = part.select("p_partkey", "p_brand", F.expr("concat(substr(p_name, 1, 3), substr(p_name, 5))").alias("name"))
     names = part.select("p_brand", F.col("p_name").alias("ref_name")).distinct()
-    return R.similar_names(rows, names, "p_brand", "name", "ref_name", 0.9).select("p_partkey", "ref_name", "similarity")
+    return similar.similar_names(rows, names, "p_brand", "name", "ref_name", 0.9).select("p_partkey", "ref_name", "similarity")
 
 
 @query()
@@ -267,7 +284,7 @@ def token_snap(spark, sf_dir):
     """Distinct tokens of part names with a character lost, snapped to the words of the names."""
     tokens = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
     broken = tokens.select(F.expr("concat(substr(word, 1, 2), substr(word, 4))").alias("token"))
-    return R.similar_names(broken, tokens, None, "token", "word", 0.82).select("token", "word", "similarity")
+    return similar.similar_names(broken, tokens, None, "token", "word", 0.82).select("token", "word", "similarity")
 
 
 @query()
