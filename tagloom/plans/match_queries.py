@@ -12,6 +12,7 @@ from tagloom.operators import catalog as C
 from tagloom.operators import reference as R
 from tagloom.operators import similar
 from tagloom.plans.stand_ins import READINGS_SQL, readings, table
+from tagloom.sources.shared import stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -74,41 +75,53 @@ def inverted_index(spark, sf_dir):
 
 
 _LOOKUP_SQL = f"""{_INDEX_SQL}, q AS (SELECT item_id, unnest({_TOK}) AS token FROM benchmark),
-k AS (SELECT item_id, token, df, row_number() OVER (PARTITION BY item_id ORDER BY df, token) AS rank FROM q JOIN f USING (token) QUALIFY rank <= 5),
+qs AS (SELECT *, bool_or(length(token) >= 4) OVER (PARTITION BY item_id) AS any_strong FROM q),
+k AS (SELECT item_id, token, df, row_number() OVER (PARTITION BY item_id ORDER BY df, token) AS rank FROM qs JOIN f USING (token) WHERE length(token) >= 4 OR NOT any_strong QUALIFY rank <= 5),
 m AS (SELECT item_id, doc_id, min(rank) AS rank FROM k JOIN p USING (token) GROUP BY 1, 2),
 u AS (SELECT item_id, rank, coalesce(sum(count(*)) OVER (PARTITION BY item_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM m GROUP BY 1, 2),
 cand AS (SELECT m.item_id, m.doc_id, m.rank FROM m JOIN u USING (item_id, rank) WHERE seen <= 5000)"""
 
 
-def _queries(spark, sf_dir) -> DataFrame:
+def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Token sets of the names that are looked up and of the catalogue, with their strong ones."""
     tokens = S.name_tokens(F.col("text"), LATIN)
-    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(tokens).alias("token"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", tokens.alias("tokens")).where(F.size("tokens") > 0)
+    items = table(spark, sf_dir, "documents").select("doc_id", tokens.alias("item_tokens"))
+    return (
+        asked.withColumn("strong", C.strong_tokens(F.col("tokens"))),
+        stored(items.withColumn("item_strong", C.strong_tokens(F.col("item_tokens"))), "catalogue-tokens"),
+    )
 
 
-def _candidates(spark, sf_dir) -> DataFrame:
-    index = _index(spark, sf_dir)
-    lookup = C.rarest_tokens(_queries(spark, sf_dir), C.document_frequency(index), "item_id")
+def _queries(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(S.name_tokens(F.col("text"), LATIN)).alias("token"))
+
+
+def _candidates(asked: DataFrame, items: DataFrame) -> DataFrame:
+    index = C.postings(items, "doc_id", "item_tokens")
+    first = F.when(F.size("strong") > 0, F.col("strong")).otherwise(F.col("tokens"))
+    lookup = C.rarest_tokens(asked.select("item_id", F.explode(first).alias("token")), C.document_frequency(index), "item_id")
     return C.candidates(lookup, index, "item_id", "doc_id")
 
 
 @query(f"WITH {_LOOKUP_SQL} SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank FROM cand")
 def catalog_candidates(spark, sf_dir):
-    return _candidates(spark, sf_dir).select("item_id", "doc_id", "rank")
+    return _candidates(*_sides(spark, sf_dir)).select("item_id", "doc_id", "rank")
 
 
 _SEARCH_SQL = f"""{_LOOKUP_SQL},
-s AS (SELECT c.item_id, c.doc_id, count(*) AS shared, count(*) FILTER (length(token) >= 4) AS strong FROM cand c JOIN q ON q.item_id = c.item_id JOIN p USING (doc_id, token) GROUP BY 1, 2),
-g AS (SELECT item_id, doc_id, strong, least(50, 8 * shared) + CASE WHEN strong >= 2 THEN 10 ELSE 0 END - CASE WHEN shared = 1 AND strong = 0 THEN 10 ELSE 0 END AS score FROM s),
+s AS (SELECT c.item_id, c.doc_id, count(*) AS shared, count(*) FILTER (length(token) >= 4) AS strong, count(*) FILTER (length(token) >= 4 AND regexp_matches(token, '[a-z]')) AS latin FROM cand c JOIN q ON q.item_id = c.item_id JOIN p USING (doc_id, token) GROUP BY 1, 2),
+g AS (SELECT item_id, doc_id, strong, least(50, 8 * shared) + CASE WHEN strong >= 2 THEN 10 ELSE 0 END + CASE WHEN latin > 0 THEN 15 ELSE 0 END - CASE WHEN strong = 1 AND shared = 1 THEN 10 ELSE 0 END AS score FROM s),
 o AS (SELECT *, row_number() OVER w AS place, coalesce(lead(score) OVER w, 0) AS second FROM g WHERE score > 0 WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id))"""
 
 
 def _searched(spark, sf_dir, top: int) -> DataFrame:
-    met = _candidates(spark, sf_dir).join(_queries(spark, sf_dir), "item_id").join(_index(spark, sf_dir), ["doc_id", "token"])
-    sums = met.groupBy("item_id", "doc_id").agg(
-        F.count(F.lit(1)).alias("shared"), F.count_if(F.length("token") >= 4).alias("strong")
-    )
-    scored = sums.withColumn("score", C.token_score()).where("score > 0")
-    return C.top_two(scored, "item_id", "doc_id", top)
+    """The best items of each name by the exact tokens that they share."""
+    asked, items = _sides(spark, sf_dir)
+    met = _candidates(asked, items).join(asked, "item_id").join(items, "doc_id")
+    score = C.item_score(*(F.col(c) for c in ("tokens", "strong", "item_tokens", "item_strong")), None)
+    scored = met.select("item_id", "doc_id", F.size(F.array_intersect("strong", "item_strong")).alias("strong"), "item_strong", score.alias("score"))
+    return C.top_two(scored.where("score > 0"), "item_id", "doc_id", top)
 
 
 @query(f"""WITH {_SEARCH_SQL} SELECT item_id, doc_id, CAST(score AS BIGINT) AS score, CAST(score - second AS BIGINT) AS margin,
@@ -125,14 +138,12 @@ def top_candidates(spark, sf_dir):
     return _searched(spark, sf_dir, 5).select("item_id", "doc_id", "place", F.col("score").cast("long").alias("score"))
 
 
-@query(f"""WITH {_SEARCH_SQL}, t AS (SELECT item_id, doc_id FROM o WHERE place <= 5), n AS (SELECT item_id, count(*) AS items FROM t GROUP BY 1)
-SELECT t.item_id, token, count(*) AS n_items FROM t JOIN p USING (doc_id) JOIN n ON n.item_id = t.item_id WHERE length(token) >= 4 GROUP BY t.item_id, token, items HAVING count(*) < items""")
+@query(f"""WITH {_SEARCH_SQL}, t AS (SELECT item_id, doc_id FROM o WHERE place <= 5), n AS (SELECT item_id, count(*) AS items FROM t GROUP BY 1),
+h AS (SELECT t.item_id, token, count(*) AS n_items FROM t JOIN p USING (doc_id) JOIN n ON n.item_id = t.item_id WHERE length(token) >= 4 GROUP BY t.item_id, token, items HAVING count(*) < items)
+SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n_items, token) <= 10""")
 def distinguishing_tokens(spark, sf_dir):
-    """Strong tokens that some but not all of a query's top five items have."""
-    top = _searched(spark, sf_dir, 5).select("item_id", "doc_id")
-    size = top.groupBy("item_id").agg(F.count(F.lit(1)).alias("items"))
-    met = top.join(_index(spark, sf_dir).where(F.length("token") >= 4), "doc_id").groupBy("item_id", "token").agg(F.count(F.lit(1)).alias("n_items"))
-    return met.join(F.broadcast(size), "item_id").where("n_items < items").select("item_id", "token", "n_items")
+    """Strong tokens that some but not all of a query's top five items have, the ten rarest."""
+    return C.distinguishing_tokens(_searched(spark, sf_dir, 5), "item_id", "item_strong")
 
 
 @query(f"WITH {_INDEX_SQL}, q AS (SELECT item_id, unnest({_TOK}) AS token FROM benchmark) SELECT item_id, doc_id, count(*) AS shared FROM q JOIN p USING (token) WHERE length(token) >= 8 GROUP BY 1, 2")
