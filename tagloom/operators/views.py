@@ -38,38 +38,38 @@ def rounds(ranked: DataFrame, group: str, first: int = 7, more: int = 5, order:
 
 
 def initial_views(views: DataFrame, group: str, limit: int = 7) -> DataFrame:
-    """The three best by score, two more by area, then the farthest from all chosen until the limit.
+    """group, view_id, pos (from 0), chosen (from 1, in which turn): the three best by score, the two largest of all if they
+    aren't among these, then the farthest from all chosen until the limit; ordered by score.
 
-    Distance of two views: share of the group's time span plus their distance in pixels over 1000; the greatest least
-    distance wins, ties go to the better score and then the first view. The choice runs inside one expression per group;
-    `limit` bounds its steps. views: group, view_id, score, area, t (0 to 1), x, y."""
-    by_score = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "view_id"))
-    ranked = views.withColumn("rs", by_score)
-    by_area = F.row_number().over(Window.partitionBy(group).orderBy((F.col("rs") <= 3).cast("int"), F.desc("area"), "view_id"))
-    ranked = ranked.withColumn("ra", by_area).withColumn("seed", (F.col("rs") <= 3) | (F.col("ra") <= 2))
-    item = F.struct("view_id", "score", "t", "x", "y", "seed", "rs")
-    own = ranked.groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("all"))
-    seeds = F.slice(F.array_sort(F.filter("all", lambda v: v["seed"]), lambda a, b: a["rs"] - b["rs"]), 1, limit)
-    rest = F.filter("all", lambda v: ~v["seed"])
+    Distance of two views: their share of the group's time span (0 where a time is unknown) and their distance in pixels
+    over 1000 (0 where a place is); the greatest least distance wins, then the better score, then the first by ord. Rows
+    with the same view_id are one view, the best by score. Each turn is a window over the group, sorted once: a view
+    keeps one distance, so a group of any size spills and is never held in an array.
 
-    def step(state: Column, _: Column) -> Column:
-        def distance(v: Column) -> Column:
-            each = F.transform(
-                state["taken"],
-                lambda s: F.abs(s["t"] - v["t"]) + F.sqrt(F.pow(s["x"] - v["x"], 2) + F.pow(s["y"] - v["y"], 2)) / 1000,
-            )
-            return F.array_min(each)
-
-        scored = F.transform(
-            state["left"], lambda v: F.struct(distance(v).alias("d"), v["score"].alias("s"), (-v["rs"]).alias("r"), v.alias("v"))
-        )
-        best = F.array_max(scored)["v"]
-        grown = F.struct(
-            F.concat(state["taken"], F.array(best)).alias("taken"),
-            F.filter(state["left"], lambda v: v["rs"] != best["rs"]).alias("left"),
-        )
-        return F.when((F.size(state["taken"]) < limit) & (F.size(state["left"]) > 0), grown).otherwise(state)
-
-    start = F.struct(seeds.alias("taken"), rest.alias("left"))
-    taken = F.aggregate(F.sequence(F.lit(1), F.lit(limit)), start, step)["taken"]
-    return own.select(group, F.posexplode(taken).alias("pos", "v")).select(group, "pos", F.col("v.view_id").alias("view_id"))
+    views: group, view_id, ord, score, area, t (0 to 1), x, y; unknown areas count as 0."""
+    own, c = Window.partitionBy(group), F.col
+    first = Window.partitionBy(group, "view_id").orderBy(F.desc("score"), "ord")
+    rows = views.select(group, "view_id", "ord", "score", F.coalesce("area", F.lit(0)).alias("area"), "t", "x", "y")
+    rows = rows.repartition(group).withColumn("_copy", F.row_number().over(first)).where("_copy = 1").drop("_copy")
+    by_score = F.row_number().over(own.orderBy(F.desc("score"), "ord"))
+    by_area = F.row_number().over(own.orderBy(F.desc("area"), "ord"))
+    rows = rows.withColumns({"_score": by_score, "_area": by_area})
+    large = (c("_area") <= 2) & (c("_score") > 3)
+    # the largest views follow the three best, which are fewer in small groups
+    before = F.least(F.lit(3), F.count(F.lit(1)).over(own)) + F.sum(large.cast("int")).over(own.orderBy("_area"))
+    rows = rows.withColumn("chosen", F.when(c("_score") <= 3, c("_score")).when(large, before)).drop("_score", "_area")
+    rows = rows.withColumns({"chosen": F.when(c("chosen") <= limit, c("chosen")).cast("int"), "_d": F.lit(float("inf"))})
+    for turn in range(1, limit + 1):
+        if turn > 3:
+            best = F.max(F.when(c("chosen").isNull(), F.struct("_d", "score", -c("ord")))).over(own)
+            taken = F.max((c("chosen") == turn).cast("int")).over(own)
+            rows = rows.withColumns({"_best": best, "_taken": F.coalesce(taken, F.lit(0))})
+            mine = c("chosen").isNull() & (c("_taken") == 0) & (F.struct("_d", "score", -c("ord")) == c("_best"))
+            rows = rows.withColumn("chosen", F.when(mine, turn).otherwise(c("chosen"))).drop("_best", "_taken")
+        if turn < limit:
+            rows = rows.withColumn("_new", F.max(F.when(c("chosen") == turn, F.struct("t", "x", "y"))).over(own))
+            apart = F.coalesce(F.abs(c("t") - c("_new.t")), F.lit(0.0))
+            apart = apart + F.coalesce(F.sqrt(F.pow(c("x") - c("_new.x"), 2) + F.pow(c("y") - c("_new.y"), 2)) / 1000, F.lit(0.0))
+            rows = rows.withColumn("_d", F.when(c("_new").isNotNull(), F.least("_d", apart)).otherwise(c("_d"))).drop("_new")
+    order = own.orderBy(F.desc("score"), "chosen")
+    return rows.where("chosen IS NOT NULL").select(group, "view_id", (F.row_number().over(order) - 1).alias("pos"), "chosen")

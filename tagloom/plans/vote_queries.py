@@ -257,13 +257,28 @@ def view_score(spark, sf_dir):
     return _scored(spark, sf_dir).select("group_id", "view_id", tenths.alias("tenths"))
 
 
-@query()
+def _initial_sql(limit: int = 7) -> str:
+    """The choice turn by turn: each adds the view that is farthest from those chosen before."""
+    sql = _SCORE_SQL + """, sp AS (SELECT group_id, min(ts) AS lo, greatest(1, max(ts) - min(ts)) AS span FROM q GROUP BY 1),
+a AS (SELECT group_id, view_id, CAST(floor(score * 10 + 0.501) AS BIGINT) AS score, area, (ts - lo) / span AS t, CAST(view_id % 97 * 10 AS DOUBLE) AS x FROM q JOIN sp USING (group_id)),
+b AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, view_id) AS rs, row_number() OVER (PARTITION BY group_id ORDER BY area DESC, view_id) AS ra FROM a),
+c3 AS (SELECT group_id, view_id, score, t, x, CASE WHEN rs <= 3 THEN rs ELSE least(3, count(*) OVER (PARTITION BY group_id)) + row_number() OVER (PARTITION BY group_id, rs <= 3 ORDER BY ra) END AS chosen FROM b WHERE rs <= 3 OR ra <= 2)"""
+    for k in range(4, limit + 1):
+        sql += f""", d{k} AS (SELECT a.group_id, a.view_id, a.score, a.t, a.x, min(abs(a.t - s.t) + sqrt((a.x - s.x) * (a.x - s.x)) / 1000) AS d FROM a JOIN c{k - 1} s ON a.group_id = s.group_id
+  WHERE (a.group_id, a.view_id) NOT IN (SELECT group_id, view_id FROM c{k - 1}) AND a.group_id NOT IN (SELECT group_id FROM c{k - 1} WHERE chosen = {k}) GROUP BY ALL),
+c{k} AS (SELECT * FROM c{k - 1} UNION ALL (SELECT group_id, view_id, score, t, x, {k} FROM d{k} QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY d DESC, score DESC, view_id) = 1))"""
+    return sql + f" SELECT group_id, view_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY score DESC, chosen) - 1 AS INTEGER) AS pos, CAST(chosen AS INTEGER) AS chosen FROM c{limit}"
+
+
+@query(_initial_sql())
 def initial_views(spark, sf_dir):
     span = F.greatest(F.lit(1), F.col("max_ts") - F.col("min_ts"))
     x = (F.col("view_id") % 97 * 10).cast("double")
+    tenths = F.floor(F.col("score") * 10 + 0.501)
     scored = _scored(spark, sf_dir).select(
-        "group_id", "view_id", "score", "area", ((F.col("ts") - F.col("min_ts")) / span).alias("t"), x.alias("x"), F.lit(0.0).alias("y")
-    )
+        "group_id", "view_id", F.col("view_id").alias("ord"), tenths.alias("score"), "area",
+        ((F.col("ts") - F.col("min_ts")) / span).alias("t"), x.alias("x"), F.lit(0.0).alias("y"),
+    )
     return V.initial_views(scored, "group_id")
 
 
