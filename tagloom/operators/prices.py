@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.functions.label_text import without_card
+from tagloom.functions.label_text import DATE, in_default_range, red_price, without_card, without_card_red
 from tagloom.functions.scalars import digits, kopeck_hint
 from tagloom.operators.blocks import bounds, price_part
 
@@ -110,3 +110,65 @@ def price_without_card(blocks: DataFrame) -> DataFrame:
     priced = made.withColumn("price", composed(c("parts"))).where("price IS NOT NULL")
     best = priced.groupBy("image").agg(F.min(F.struct("gap", "label", "price")).alias("b"))
     return best.select("image", "b.label", "b.price")
+
+
+def _shown(blocks: DataFrame) -> DataFrame:
+    """Blocks of a red label with a box and a text that is no service text, with their digits, places and the label's bounds."""
+    rows = blocks.where(F.col("box").isNotNull() & (F.trim("text") != "") & ~F.trim("text").startswith("__"))
+    image = Window.partitionBy("image")
+    c = F.col
+    return bounds(rows.select("image", "ord", F.trim("text").alias("text"), "conf", "box")).select(
+        "image", "ord", "text", "conf", digits(c("text")).alias("digits"), "left", "right", "top", "bottom",
+        ((c("left") + c("right")) / 2).alias("cx"), ((c("top") + c("bottom")) / 2).alias("cy"), (c("bottom") - c("top")).alias("height"),
+        F.min("left").over(image).alias("x0"), F.min("top").over(image).alias("y0"),
+        F.max("right").over(image).alias("x1"), F.max("bottom").over(image).alias("y1"),
+    )
+
+
+def assembled(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, price: the highest block whose text is a price by itself (then the rightmost), else the roubles and kopecks that
+    fit best: their distance in height, a third of the gap and how far left they are count against them."""
+    c = F.col
+    own = red_price(c("text"))
+    direct = parts.where(in_default_range(own)).groupBy(*keys).agg(F.min(F.struct("cy", (-c("cx")).alias("x"), "ord", own.alias("price")))["price"].alias("direct"))
+    part = lambda prefix: F.struct(*(c(n) for n in ("ord", "digits", "left", "right", "cx", "cy", "height"))).alias(prefix)
+    roubles = parts.where(F.length("digits").between(3, 4)).select(*keys, part("r"))
+    kopecks = parts.where(F.length("digits") == 2).select(*keys, part("k"))
+    off = F.abs(c("r.cy") - c("k.cy"))
+    met = roubles.join(kopecks, keys).where((off <= F.greatest(c("r.height") * 1.2, F.lit(45.0))) & (c("k.left") >= c("r.left") - 20))
+    price = F.concat("r.digits", F.lit("."), "k.digits")
+    score = off + F.abs(c("k.left") - c("r.right")) * 0.35 - c("r.cx") * 0.02
+    best = F.min(F.struct(score.alias("score"), c("r.ord").alias("r"), c("k.ord").alias("k"), price.alias("price")))["price"]
+    pairs = met.where(in_default_range(price)).groupBy(*keys).agg(best.alias("paired"))
+    return direct.join(pairs, keys, "full").select(*keys, F.coalesce("direct", "paired").alias("price"))
+
+
+def red_full_price(blocks: DataFrame) -> DataFrame:
+    """image, price of a red label: what the blocks under the highest "without card" label make, else those in its upper
+    right part."""
+    c, rows = F.col, _shown(blocks)
+    number = (F.length("digits").between(1, 6)) & ~c("text").rlike(DATE) & (c("conf") >= 0.15)
+    labels = rows.where(without_card_red(c("text"))).select("image", c("ord").alias("label"), c("cy").alias("l_cy"), c("left").alias("l_left"), c("top").alias("l_top"), c("bottom").alias("l_bottom"))
+    beside = (c("cx") >= c("l_left") - 40) & (c("cy") >= c("l_top") - 50) & (c("cy") <= c("l_bottom") + 180)
+    near = assembled(rows.where(number).join(labels, "image").where(beside), ["image", "label"]).join(labels.select("image", "label", "l_cy"), ["image", "label"])
+    first = near.groupBy("image").agg(F.min(F.struct("l_cy", "label", "price"))["price"].alias("beside"))
+    upper = (c("cy") <= c("y0") + (c("y1") - c("y0")) * 0.60) & (c("cx") >= c("x0") + (c("x1") - c("x0")) * 0.35)
+    zone = assembled(rows.where(number & upper), ["image"]).withColumnRenamed("price", "zoned")
+    return first.join(zone, "image", "full").select("image", F.coalesce("beside", "zoned").try_cast("double").alias("price"))
+
+
+def red_card_price(blocks: DataFrame) -> DataFrame:
+    """image, price of a red label's lower part: the highest three or four digits that have two digits beside them (on their
+    level if there are any), the nearest to their right edge."""
+    c, rows = F.col, _shown(blocks)
+    parts = rows.where(F.length("digits").between(2, 5) & ~c("text").rlike(DATE) & (c("conf") >= 0.25) & (c("cy") >= c("y0") + (c("y1") - c("y0")) * 0.40))
+    part = lambda prefix: F.struct(*(c(n) for n in ("ord", "digits", "left", "right", "cx", "cy", "height"))).alias(prefix)
+    roubles = parts.where(F.length("digits").between(3, 4)).select("image", part("r"))
+    kopecks = parts.where(F.length("digits") == 2).select("image", part("k"))
+    level = (c("k.left") >= c("r.left")) & (F.abs(c("k.cy") - c("r.cy")) <= F.greatest(c("r.height") * 0.9, F.lit(35.0)))
+    tier = F.when(level, 1).when(c("k.left") >= c("r.left") - 20, 2)
+    choice = F.struct(tier.alias("tier"), F.abs(c("k.cx") - c("r.right")).alias("gap"), c("k.ord").alias("k"), c("k.digits").alias("digits"))
+    met = roubles.join(kopecks, "image").where(tier.isNotNull()).groupBy("image", "r").agg(F.min(choice).alias("k"))
+    price = F.concat("r.digits", F.lit("."), "k.digits").try_cast("double")
+    best = F.min(F.struct((-c("r.height")).alias("h"), (-c("r.cy")).alias("y"), c("r.ord").alias("o"), price.alias("price")))["price"]
+    return met.groupBy("image").agg(best.alias("price"))
