@@ -208,14 +208,13 @@ def ean13_check(spark, sf_dir):
     return _codes(spark, sf_dir).select("p_partkey", "code", S.valid_ean13(S.digits(F.col("code"))).alias("valid"))
 
 
-@query(f"""WITH {READINGS_SQL}, {_EAN_SQL}, c AS (SELECT group_id, view, ord, score, filled, code, valid FROM r JOIN e ON e.p_partkey = r.l_partkey % 50),
+@query(f"""WITH {READINGS_SQL}, {_EAN_SQL}, c AS (SELECT group_id, view, ord, score, filled, code, valid FROM r JOIN e ON e.p_partkey = r.l_partkey),
 n AS (SELECT group_id, count(DISTINCT CASE WHEN valid THEN code END) AS codes, count(*) FILTER (NOT valid) AS ignored FROM c GROUP BY 1),
 g AS (SELECT group_id, code AS value, count(*) AS votes, max(score) AS score, max(filled) AS filled, min(ord) AS ord FROM c WHERE valid GROUP BY 1, 2),
 w AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY votes DESC, score DESC, filled DESC, ord) = 1)
 SELECT group_id, codes, ignored, value, votes FROM n LEFT JOIN w USING (group_id)""")
 def barcode_vote(spark, sf_dir):
-    codes = _codes(spark, sf_dir).where("p_partkey < 50")  # the fifty codes that readings refer to
-    rows = readings(spark, sf_dir).withColumn("p_partkey", F.col("l_partkey") % 50).join(codes, "p_partkey")
+    rows = readings(spark, sf_dir).join(_codes(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey"))
     long = rows.select("group_id", "view", "ord", "score", "filled", F.lit("barcode").alias("field"), F.col("code").alias("value"))
     return votes.barcode_vote(long).select("group_id", "codes", "ignored", "value", "votes")
 
