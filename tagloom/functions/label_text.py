@@ -80,12 +80,20 @@ def clean_name(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?iU)\bбел(\s+|[;:]\s*)сух\b", "бел. сух."))
 
 
+def first_reason(rules: tuple[tuple[str, Column], ...]) -> Column:
+    """The name of the first rule that holds, in one expression; null where none does."""
+    reason = F.lit(None).cast("string")
+    for name, rule in reversed(rules):
+        reason = F.when(rule, name).otherwise(reason)
+    return reason
+
+
 def rejected_name(text: Column) -> Column:
     """Why a block is no part of a product name, the first reason that holds; null if it may be one."""
     low, plain = F.trim(F.translate(F.lower(text), "ё", "е")), digits(text)
     letters = F.length(F.regexp_replace(text, "[^a-zA-Zа-яА-Я]", ""))
     odd = F.length(F.regexp_replace(F.trim(text), r"[a-zA-Zа-яА-Я0-9\s.,()/]", ""))
-    rules = (
+    return first_reason((
         ("empty", low.isNull() | (low == "")),
         ("service", low.startswith("__")),
         ("date", text.rlike(DATE)),
@@ -97,11 +105,45 @@ def rejected_name(text: Column) -> Column:
         ("service_label", low.rlike(SERVICE)),
         ("no_letters", letters == 0),
         ("too_many_specials", (odd > F.length(F.trim(text)) * 0.45) & (letters <= 2)),
-    )
-    reason = F.lit(None).cast("string")
-    for name, rule in reversed(rules):
-        reason = F.when(rule, name).otherwise(reason)
-    return reason
+    ))
+
+
+#: Texts that stand on regular labels beside the name.
+NOT_NAMES = (
+    "без карты", "с картой", "с карт", "c карт", "картой", "карты", "боз карты", "бвз карты", "баз карты", "ба1 карты", "б8э карты", "цена", "руб", "₽",
+    "за 1 кг", "за 100г", "за 100 г", "за 1 шт", "шт.", "код", "номер на весах", "номер на вес", "номep на весах", "детской картой", "арт",
+)
+
+
+def regular_noise(text: Column) -> Column:
+    """Why a block of a regular label is no part of its name, the first reason that holds; null if it may be one."""
+    low = F.trim(F.translate(F.lower(text), "ё", "е"))
+    plain = digits(low)
+    short = F.length(plain).between(1, 6) & ~low.rlike(r"[a-zа-я]")
+    marker = F.lit(False)
+    for words in NOT_NAMES:
+        marker = marker | low.contains(words)
+    return first_reason((
+        ("empty", low.isNull() | (low == "")),
+        ("service", low.startswith("__")),
+        ("signs", low.rlike("^[-%.,₽]+$")),
+        ("digits", (plain != "") & (plain == low)),
+        ("long_digits", F.length(plain) >= 10),
+        ("date", low.rlike(DATE)),
+        ("time", low.rlike("^[0-9]{1,2}[:.][0-9]{2}$")),
+        ("discount", low.contains("%")),
+        ("price", short),
+        ("marker", marker),
+    ))
+
+
+def clean_regular_name(text: Column) -> Column:
+    """Spacing, fractions and the words for peeling and sorting in one spelling."""
+    text = F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"\s+([,.)])", "$1")
+    text = F.regexp_replace(F.regexp_replace(text, r"([(])\s+", "$1"), r"([A-Za-zА-Яа-я]+\d+)\s*/\s*(\d+)", "$1/$2")
+    peeled = lambda t: F.regexp_replace(t, r"(?iU)\bочищ\s+1\s+сорт\b", "очищ. 1 сорт")
+    text = peeled(F.regexp_replace(text, r"(?iU)\bочищ:", "очищ."))
+    return F.trim(peeled(F.regexp_replace(text, r"(?iU)(?<!\d\s)\bсорт вес\b", "1 сорт вес")))
 
 
 def lenient_int(text: Column) -> Column:

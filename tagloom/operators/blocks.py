@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.functions.label_text import clean_regular_name, regular_noise
+
 DATE = r"[0-9]{2}\.[0-9]{2}\.[0-9]{2,4}"
 #: What names the mechanic of a promotion, the first that matches counts.
 MECHANICS = (
@@ -100,3 +102,25 @@ def mechanic(text: Column) -> Column:
     for name, pattern in reversed(MECHANICS):
         found = F.when(F.lower(text).rlike(pattern), name).otherwise(found)
     return found
+
+
+def top_name(blocks: DataFrame, zone: float = 0.48, least: float = 0.35) -> DataFrame:
+    """image, product_name: the blocks of the upper zone that may belong to a name, joined from the top and the left. A lone 1
+    counts where one of the next two blocks speaks of a sort or weight.
+
+    Blocks without a box, of little confidence or with service text are left out; labels without height or name have no row."""
+    hint = F.col("source") == "price_hint" if "source" in blocks.columns else F.lit(False)
+    rows = bounds(blocks.where(visible(least) & ~F.coalesce(hint, F.lit(False))))
+    image, order = Window.partitionBy("image"), Window.partitionBy("image").orderBy("top", "left", "ord")
+    y0, y1 = F.min("top").over(image), F.max("bottom").over(image)
+    upper = rows.select("image", "ord", "text", "left", "top", ((F.col("top") + F.col("bottom")) / 2).alias("cy"), y0.alias("y0"), y1.alias("y1"))
+    upper = upper.where((F.col("y1") > F.col("y0")) & (F.col("cy") <= F.col("y0") + (F.col("y1") - F.col("y0")) * zone))
+    low = F.trim(F.translate(F.lower("text"), "ё", "е"))
+    after = [F.lead(low, i).over(order) for i in (1, 2)]
+    sorted_ = F.lit(False)
+    for text in after:
+        sorted_ = sorted_ | F.coalesce(text.contains("сорт") | text.contains("вес"), F.lit(False))
+    kept = upper.select("image", "ord", "text", "left", "top", (regular_noise(F.col("text")).isNull() | ((low == "1") & sorted_)).alias("kept")).where("kept")
+    parts = F.array_sort(F.collect_list(F.struct("top", "left", "ord", "text")))
+    named = kept.groupBy("image").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("name"))
+    return named.select("image", clean_regular_name(F.col("name")).alias("product_name"))

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from tagloom.functions.label_text import regular_noise
 from tagloom.operators import families, prices
+from tagloom.operators.blocks import top_name
 from tagloom.operators.labels import RED, REGULAR
 
 BLOCK = "image string, ord int, text string, conf double, box array<struct<x: double, y: double>>, source string"
@@ -70,3 +72,16 @@ def test_parsers_by_family(spark):
     assert (got["six"].lines, got["six"].price_card, got["plain"].lines) == (3, None, None)
     assert (got["none"].price_card, got["unseen"].family, got["unseen"].price_card) == (1499.0, "unknown", None)
     assert set(families.PARSERS) == {RED, REGULAR}
+
+
+def test_names_of_regular_labels(spark):
+    rows = [
+        ("a", 1, "1", 50, 0, 60, 10), ("a", 2, "Морковь", 0, 0, 40, 10), ("a", 3, "сорт", 70, 0, 90, 10), ("a", 4, "12 руб", 95, 0, 99, 10), ("a", 5, "Внизу", 0, 90, 40, 100),
+        ("b", 1, "Сок10 / 50", 0, 0, 9, 9), ("b", 2, "1", 20, 0, 30, 9), ("b", 3, "( груша )", 40, 0, 90, 9), ("b", 4, "низ", 0, 80, 9, 90), ("b", 5, "слабо", 10, 0, 19, 9, 0.1),
+        ("c", 1, "сорт вес", 0, 0, 9, 9), ("c", 2, "__k", 0, 0, 9, 9), ("c", 3, "x", 0, 90, 9, 99), ("d", 1, "99", 0, 0, 9, 9), ("e", 1, "Один"),
+    ]
+    got = {r.image: r.product_name for r in top_name(blocks(spark, rows)).collect()}
+    assert got == {"a": "Морковь 1 сорт", "b": "Сок10/50 (груша)", "c": "1 сорт вес"}
+    assert top_name(blocks(spark, rows).limit(0)).count() == 0
+    texts = spark.createDataFrame([(t,) for t in (None, " ", "%", "12", "Вино 1", "Картофель")], "t string")
+    assert [r[0] for r in texts.select(regular_noise(F.col("t"))).collect()] == ["empty", "empty", "signs", "digits", None, "marker"]
