@@ -12,7 +12,6 @@ from tagloom.operators import catalog as C
 from tagloom.operators import reference as R
 from tagloom.operators import similar
 from tagloom.plans.stand_ins import READINGS_SQL, readings, table
-from tagloom.sources.shared import stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -89,7 +88,7 @@ def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     items = table(spark, sf_dir, "documents").select("doc_id", tokens.alias("item_tokens"))
     return (
         asked.withColumn("strong", C.strong_tokens(F.col("tokens"))),
-        stored(items.withColumn("item_strong", C.strong_tokens(F.col("item_tokens"))), "catalogue-tokens"),
+        items,
     )
 
 
@@ -116,11 +115,18 @@ o AS (SELECT *, row_number() OVER w AS place, coalesce(lead(score) OVER w, 0) AS
 
 
 def _searched(spark, sf_dir, top: int) -> DataFrame:
-    """The best items of each name by the exact tokens that they share."""
+    """The best items of each name by the exact tokens that they share, counted by postings as items are long here."""
     asked, items = _sides(spark, sf_dir)
-    met = _candidates(asked, items).join(asked, "item_id").join(items, "doc_id")
-    score = C.item_score(*(F.col(c) for c in ("tokens", "strong", "item_tokens", "item_strong")), None)
-    scored = met.select("item_id", "doc_id", F.size(F.array_intersect("strong", "item_strong")).alias("strong"), "item_strong", score.alias("score"))
+    tokens = asked.select("item_id", F.explode("tokens").alias("token"))
+    met = _candidates(asked, items).join(tokens, "item_id").join(C.postings(items, "doc_id", "item_tokens"), ["doc_id", "token"])
+    token, strong = F.col("token"), F.length("token") >= 4
+    sums = met.groupBy("item_id", "doc_id").agg(
+        F.count(F.lit(1)).alias("shared"), F.count_if(strong & ~token.isin(*C.COMMON)).alias("strong"),
+        F.bool_or(strong & token.rlike("[a-z]")).alias("latin"), F.bool_or(token.isin(*C.VOLUMES)).alias("volume"),
+        F.bool_and(token.isin(*C.COMMON)).alias("only_common"),
+    )
+    score = C.counted_score(*(F.col(c) for c in ("shared", "strong", "latin", "volume", "only_common")))
+    scored = sums.select("item_id", "doc_id", "strong", score.alias("score"))
     return C.top_two(scored.where("score > 0"), "item_id", "doc_id", top)
 
 
@@ -143,7 +149,9 @@ h AS (SELECT t.item_id, token, count(*) AS n_items FROM t JOIN p USING (doc_id)
 SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n_items, token) <= 10""")
 def distinguishing_tokens(spark, sf_dir):
     """Strong tokens that some but not all of a query's top five items have, the ten rarest."""
-    return C.distinguishing_tokens(_searched(spark, sf_dir, 5), "item_id", "item_strong")
+    strong = C.strong_tokens(S.name_tokens(F.col("text"), LATIN)).alias("strong_tokens")
+    top = _searched(spark, sf_dir, 5).select("item_id", "doc_id").join(table(spark, sf_dir, "documents").select("doc_id", strong), "doc_id")
+    return C.distinguishing_tokens(top, "item_id", "strong_tokens")
 
 
 @query(f"WITH {_INDEX_SQL}, q AS (SELECT item_id, unnest({_TOK}) AS token FROM benchmark) SELECT item_id, doc_id, count(*) AS shared FROM q JOIN p USING (token) WHERE length(token) >= 8 GROUP BY 1, 2")
