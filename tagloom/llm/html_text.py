@@ -3,7 +3,8 @@
 Markup says which blocks are of the article, which are boilerplate (menus, adverts, forms ...) and which may be either.
 The tokens of all blocks outside articles are a page's stream; runs may cross the borders of its blocks. The suffixes of
 all streams of a host are ordered: neighbours that share a long beginning and are of several distinct pages are repeated
-boilerplate. What they cover in the main text is removed, and what is unique stays. Text that only articles share
+boilerplate. What they cover in the main text is removed where it reaches a block's border, and what is unique stays,
+with quotations in its midst. Text that only articles share
 (syndicated texts) is no boilerplate, and pages of a host with equal streams (mirrors) are one page.
 
 A host's suffixes aren't gathered: `repeats` deals them out by host and the least hash of a few tokens in a window, so
@@ -33,6 +34,11 @@ WINDOW, GRAM, PAGES = 8, 3, 3
 #: Tokens of a run that goes from blocks that markup says are of the article.
 STRICT = 30
 ARTICLE, EITHER, BOILERPLATE = 0, 1, 2
+#: Regions that a whole page decides: an article that stands in a form or in what class names call boilerplate, that
+#: boilerplate itself, and a form.
+DOUBT, NAMED, FORM = 3, 4, 5
+#: Words of a form that may be the main text of a page which has none outside it.
+FORM_WORDS = 100
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -49,6 +55,15 @@ _JUNK = re.compile(
     r"|contentinfo|toolbar|pagination|skip-link|copyright|disclaimer)(?:$|[\s_-])",
     re.I,
 )
+#: Within an article each part of a class name has to be a word for boilerplate or one of these: `comment-list` goes,
+#: `related-work`, `article-header` and `has-sidebar` stay.
+_PLAIN = frozenset(
+    "article articles story stories list box block container wrapper wrap inner outer bar area section item items row col column unit slot link links"
+    " button buttons form site page main top bottom left right body content thread count title icon icons js post posts".split()
+)
+_HEADS = frozenset("header masthead".split())
+#: Beginnings of class names that speak of what an element holds or lacks.
+_SAYS = ("has-", "has_", "with-", "with_", "no-", "no_", "without-", "without_")
 _OUT = frozenset("nav footer aside form head button menu dialog header title label".split())
 _BLOCKS = frozenset(
     "p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr td th section article main blockquote pre figure"
@@ -59,6 +74,48 @@ _BLOCKS = frozenset(
 _NESTED = _BLOCKS - frozenset("p li dt dd tr td th hr h1 h2 h3 h4 h5 h6".split())
 
 
+def boilerplate_names(names: str, inside: bool) -> bool:
+    """Whether class names and the like tell boilerplate; within an article and for one, whole names have to."""
+    names = [name for name in names.lower().split() if not name.startswith(_SAYS)]
+    if not inside:
+        return any(_JUNK.search(name) for name in names)
+    for name in names:
+        parts = [p for p in re.split(r"[_-]+", name) if p and not p.isdigit()]
+        if _JUNK.search(name) and all(p in _PLAIN or (_JUNK.search(p) and p not in _HEADS) for p in parts):
+            return True
+    return False
+
+
+def entered(region: int, name: str, names: str) -> int:
+    """The region of an element within a region, by its name and its class names.
+
+    Class names and forms don't decide on an article that they enclose: it is in doubt, and counts if the page has no
+    other. Tags do: an article in `aside` or `nav` is boilerplate, as is a reader's comment within an article."""
+    if name in ("article", "main"):
+        junk = bool(names) and boilerplate_names(names, True)
+        if region in (ARTICLE, DOUBT):
+            return BOILERPLATE if junk else region
+        if region == BOILERPLATE:
+            return region
+        return ARTICLE if region == EITHER and not junk else DOUBT
+    inside = region in (ARTICLE, DOUBT)
+    if name in _OUT and not (inside and name == "header"):
+        return {EITHER: FORM, FORM: FORM, NAMED: NAMED}.get(region, BOILERPLATE) if name == "form" else BOILERPLATE
+    if names and region != BOILERPLATE and name not in ("body", "html") and boilerplate_names(names, inside):
+        return BOILERPLATE if inside else NAMED
+    return region
+
+
+def decided(found: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Blocks by the three regions that remain: articles in doubt count where no other does, and a long form where nothing
+    else does."""
+    have = {region for region, _ in found}
+    becomes = {DOUBT: BOILERPLATE if ARTICLE in have else ARTICLE, NAMED: BOILERPLATE, FORM: BOILERPLATE}
+    if not have & {ARTICLE, DOUBT, EITHER} and sum(len(text.split()) for region, text in found if region == FORM) >= FORM_WORDS:
+        becomes[FORM] = EITHER
+    return [(becomes.get(region, region), text) for region, text in found]
+
+
 def blocks_of(page: str) -> list[tuple[int, str]]:
     """(region, text) of a page's blocks in order, character references decoded, white space made single spaces."""
     out: list[tuple[int, str]] = []
@@ -88,16 +145,8 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
         if not m[2]:
             flush()
             if name in _NESTED:
-                region = stack[-1][1]
-                if region != BOILERPLATE:
-                    names = " ".join(x.strip("\"'") for x in _NAMES.findall(m[4])) if m[4] else ""
-                    inside = region == ARTICLE
-                    if (name in _OUT and not (inside and name == "header")) or (
-                        names and name not in ("body", "html") and _JUNK.search(names)
-                    ):
-                        region = BOILERPLATE
-                    elif name in ("article", "main"):
-                        region = ARTICLE
+                names = " ".join(x.strip("\"'") for x in _NAMES.findall(m[4])) if m[4] else ""
+                region = entered(stack[-1][1], name, names)
                 if not m[4].rstrip().endswith("/"):
                     stack.append((name, region))
         else:
@@ -109,7 +158,7 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
                         break
     parts.append(page[at:])
     flush()
-    return out
+    return decided(out)
 
 
 def host_of(url: str | None) -> str:
@@ -295,8 +344,11 @@ def main_text(texts: list[str], regions: list[int], runs: list[dict] | None) ->
     gone = covered(sum(len(words) for _, words in stream), runs, STRICT if inside else WINDOW)
     kept, at = [], 0
     for region, words in stream:
-        cover, at = gone[at : at + len(words)].tolist(), at + len(words)
-        left = " ".join(w for w, c in zip(words, cover, strict=True) if not c)
+        cover, at = gone[at : at + len(words)], at + len(words)
+        if not cover.all():  # a quotation within a block is the block's own: only what reaches its borders goes
+            edges = np.flatnonzero(~cover)
+            cover[edges[0] : edges[-1] + 1] = False
+        left = " ".join(w for w, c in zip(words, cover.tolist(), strict=True) if not c)
         if left and region != BOILERPLATE:
             kept.append(left)
     return "\n".join(kept)
