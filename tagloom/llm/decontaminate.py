@@ -146,23 +146,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = found.select("key", F.explode(F.arrays_zip("places", "seeds")).alias("s")).select(
         "key", F.col("s.places").alias("at"), F.col("s.seeds").alias("seed")
     )
-    laid = hits.join(each, "seed").select("key", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    shift = (F.col("at") - F.col("item_at")).alias("shift")
+    # a text meets an item once, with the words of both and all shifts (no more than the words of both)
+    laid = hits.join(each, "seed").groupBy("key", "item_key").agg(F.collect_set(shift).alias("shifts"))
     texts = items.dropDuplicates(["item_key"]).select("item_key", "item_id", F.col("words").alias("item_words"))
     both = laid.join(texts, "item_key").join(found.select("key", "words"), "key")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, shift, item_id, item, words in zip(*batch.columns, strict=True):
-                got = overlap_found(item.values.to_numpy(), words.values.to_numpy(), shift.as_py())
-                if got:
-                    rows.append((key.as_py(), item_id.as_py(), *got))
+            for key, shifts, item_id, item, words in zip(*batch.columns, strict=True):
+                item, words = item.values.to_numpy(), words.values.to_numpy()
+                for shift in shifts.values.to_pylist():
+                    got = overlap_found(item, words, shift)
+                    if got:
+                        rows.append((key.as_py(), item_id.as_py(), *got))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in columns], names=["key", "item_id", "first", "last", "agree"]
             )
 
-    return both.select("key", "shift", "item_id", "item_words", "words").mapInArrow(
+    return both.select("key", "shifts", "item_id", "item_words", "words").mapInArrow(
         verify, "key long, item_id long, first long, last long, agree long"
     )
 

@@ -304,6 +304,15 @@ def test_decontaminate_substitutions(spark):
     assert got == dict(enumerate(expected)) and len(expected) == 202
 
 
+def test_decontaminate_one_word(spark):
+    """A long text of one word meets an item of the same word at every shift; its words travel once."""
+    docs = spark.createDataFrame([(1, "na " * 16_000), (2, "na " * 12), (3, "no " * 30)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "na " * 20), (None, "no " * 20)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.contamination(docs, bench).collect()}
+    assert got[1]["item_ids"] == [7] and got[1]["longest"] == 20 and not got[2]["contaminated"]
+    assert (got[3]["contaminated"], got[3]["n_items"], got[3]["item_ids"]) == (True, 0, [])
+
+
 def test_html(spark):
     page = (
         "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><a>Home</a></nav><div class='ad'>buy</div>"
