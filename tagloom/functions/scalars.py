@@ -127,11 +127,22 @@ def name_readability(text: Column, useful: str = "(?!)") -> Column:
     return F.greatest(F.lit(0), letters + 4 * words + 2 * upper + 6 * count(useful) - 3 * odd - 2 * single)
 
 
+def _odd_name(text: Column, allowed: str) -> Column:
+    """Blank, or over a quarter of characters that are no letters, digits, white space or allowed signs."""
+    plain = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    odd = F.length(F.regexp_replace(plain, rf"(?U)[\p{{L}}\p{{N}}\s{allowed}]", ""))
+    return (plain == "") | (odd * 4 > F.length(plain))
+
+
 def noisy_name(text: Column) -> Column:
-    """Blank, over a quarter of odd characters, or fewer than two words."""
-    odd = F.length(F.regexp_replace(text, "[A-Za-z0-9 .,%/-]", ""))
-    words = F.size(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]{2,}"), F.lit(0)))
-    return F.coalesce((F.length(F.trim(text)) == 0) | (odd * 4 > F.length(text)) | (words < 2), F.lit(True))
+    """A name of a merged row that isn't one: odd (quotes are allowed), or of fewer than two words. Null is noisy."""
+    words = F.size(F.regexp_extract_all(text, F.lit("[A-Za-zА-Яа-я0-9]+"), F.lit(0)))
+    return F.coalesce(_odd_name(text, r".,()/\"'\-") | (words < 2), F.lit(True))
+
+
+def noisy_search_name(text: Column, tokens: Column) -> Column:
+    """A name too noisy to search for: odd, or of fewer than two product tokens (`names.product_tokens`). Null is noisy."""
+    return F.coalesce(_odd_name(text, r".,()/\-") | (F.size(tokens) < 2), F.lit(True))
 
 
 def first_known(*values: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.label_text import clean_regular_name, regular_noise
+from tagloom.functions.scalars import digits, valid_ean13
 
 DATE = r"[0-9]{2}\.[0-9]{2}\.[0-9]{2,4}"
 #: What names the mechanic of a promotion, the first that matches counts.
@@ -80,21 +81,119 @@ def main_price(blocks: DataFrame) -> DataFrame:
     )
 
 
+def centred(blocks: DataFrame) -> DataFrame:
+    """`cx`, `cy` of each block with bounds, its `digits`, and `lower`: whether its centre lies in the lower two fifths of its
+    image's blocks. Blocks without a box and service text are left out; without height no block is `lower`."""
+    boxed = F.col("box").isNotNull() if "box" in blocks.columns else F.col("top").isNotNull()
+    rows = blocks.where(boxed & ~F.coalesce(F.col("text").startswith("__"), F.lit(False)))
+    image = Window.partitionBy("image")
+    top, bottom = F.min("top").over(image), F.max("bottom").over(image)
+    rows = rows.withColumns({"cx": (F.col("left") + F.col("right")) / 2, "cy": (F.col("top") + F.col("bottom")) / 2})
+    rows = rows.withColumns({"y0": top, "height": bottom - top, "digits": F.coalesce(digits(F.col("text")), F.lit(""))})
+    return rows.withColumn("lower", (F.col("height") > 0) & (F.col("cy") >= F.col("y0") + F.col("height") * 0.6)).drop("y0", "height")
+
+
+#: Fixed value: day, month, year of four digits, and a time if one follows.
+PRINTED = r"\b(\d{2})[.\s](\d{2})[.\s](\d{4})(?:\s+(\d{2})[.: ]?(\d{2}))?\b"
+
+
+def printed_date(text: Column) -> Column:
+    """A date and time as DD.MM.YYYY HH:MM, a date alone as DD.MM.YYYY; null if there is none."""
+    plain = F.regexp_replace(F.trim(text), r"\s+", " ")
+    day, month, year, hour, minute = (F.regexp_extract(plain, PRINTED, i) for i in range(1, 6))
+    date = F.concat_ws(".", day, month, year)
+    return F.when(day != "", F.when(minute != "", F.concat(date, F.lit(" "), hour, F.lit(":"), minute)).otherwise(date))
+
+
 def latest_date(blocks: DataFrame) -> DataFrame:
-    """image, date: the lowest date of an image, those with a time first."""
-    timed = F.regexp_extract("text", DATE + r"[ .]+[0-9]{2}:[0-9]{2}", 0)
-    found = F.when(timed != "", timed).otherwise(F.regexp_extract("text", DATE, 0))
-    rows = blocks.withColumn("date", found).where("date != ''")
-    key = F.struct((timed == "").alias("untimed"), (-F.col("top")).alias("up"), "ord", "date")
+    """image, date: the lowest date of an image by its centre, those with a time first, then the first in order."""
+    rows = centred(blocks).withColumn("date", printed_date(F.col("text"))).where("date IS NOT NULL")
+    key = F.struct((F.length("date") < 12).alias("untimed"), (-F.col("cy")).alias("up"), "ord", "date")
     return rows.groupBy("image").agg(F.min(key)["date"].alias("date"))
 
 
+def text_date(blocks: DataFrame, sure: float = 0.7, least: float = 0.4) -> DataFrame:
+    """image, date: the first DD.MM.YYYY of the texts, wherever they stand, without a time.
+
+    The first among texts of confidence `sure` counts if it is a day of the calendar, else the first such day among those of
+    confidence `least`. Null texts and confidences count for nothing."""
+    found = blocks.select("image", "ord", "conf", F.regexp_extract("text", r"\d{2}\.\d{2}\.\d{4}", 0).alias("date")).where("date != ''")
+    day = F.try_to_timestamp("date", F.lit("dd.MM.yyyy")).isNotNull()
+    met = found.withColumn("day", day).groupBy("image").agg(
+        F.min(F.when(F.col("conf") >= sure, F.struct("ord", "date", "day"))).alias("a"),
+        F.min(F.when((F.col("conf") >= least) & F.col("day"), F.struct("ord", "date"))).alias("b"),
+    )
+    date = F.coalesce(F.when(F.col("a.day"), F.col("a.date")), F.col("b.date"))
+    return met.select("image", date.alias("date")).where("date IS NOT NULL")
+
+
 def stock_number(blocks: DataFrame) -> DataFrame:
-    """image, id_sku: 10 to 12 digits, in the lower zone if there are any; nearest to 12, then left, then top."""
-    n = F.length("text")
-    rows = zoned(blocks).where(F.col("text").rlike("^[0-9]{10,12}$"))
-    key = F.struct((F.coalesce("depth", F.lit(0.0)) < 0.6).alias("high"), (12 - n).alias("short"), "left", "top", "ord", "text")
-    return rows.groupBy("image").agg(F.min(key)["text"].alias("id_sku"))
+    """image, id_sku: a block of 10 to 12 digits that is no date, in the lower zone if there are any; nearest to 12 digits, then
+    left, then top, by its centre."""
+    n = F.length("digits")
+    rows = centred(blocks).where(n.between(10, 12) & printed_date(F.col("text")).isNull())
+    key = F.struct((~F.col("lower")).alias("high"), (12 - n).alias("short"), "cx", "cy", "ord", "digits")
+    return rows.groupBy("image").agg(F.min(key)["digits"].alias("id_sku"))
+
+
+def barcode(blocks: DataFrame) -> DataFrame:
+    """image, barcode: a valid code of 13 digits in the lower zone, in one block, or else in up to three neighbouring ones.
+
+    Blocks of 1, 5, 6 or 13 digits are parts, from left to right, then from the top; a part of five in the middle has lost its
+    leading zero. The first that is valid counts; images without one have no row."""
+    rows = centred(blocks).where(F.col("lower") & F.length("digits").isin(1, 5, 6, 13))
+    order = Window.partitionBy("image").orderBy("left", "cy", "ord")
+    second, third = F.lead("digits", 1).over(order), F.lead("digits", 2).over(order)
+    second = F.when(F.length(second) == 5, F.concat(F.lit("0"), second)).otherwise(second)
+    together = F.concat("digits", F.coalesce(second, F.lit("")), F.coalesce(third, F.lit("")))
+    tried = rows.select("image", "ord", "digits", F.row_number().over(order).cast("long").alias("place"), together.alias("code"))
+    direct = F.when(valid_ean13(F.col("digits")), F.struct(F.lit(0).alias("tier"), F.col("ord").alias("place"), F.col("digits").alias("code")))
+    joined = F.when(valid_ean13(F.col("code")), F.struct(F.lit(1).alias("tier"), "place", "code"))
+    found = tried.groupBy("image").agg(F.min(F.coalesce(direct, joined)).alias("m")).where("m IS NOT NULL")
+    return found.select("image", F.col("m.code").alias("barcode"))
+
+
+#: Words that a price label's texts hold.
+LABEL_WORDS = ("с карт", "картой", "без карт", "карты", "руб", "сух", "вино")
+
+
+def block_set_score(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """by, score: how well the blocks of each set (by `by`) read as a price label.
+
+    Counted are blocks (30 at most), mean confidence, words of labels, a discount or a percent sign, whole codes, blocks of
+    two to four digits (10 at most) and of any digits (15 at most); blocks of signs only count against a set, as do sets
+    without digits and of fewer than four blocks. Service text counts for nothing; a set of nothing else scores 0. Null
+    texts count as empty and null confidences as 0."""
+    text, service = F.coalesce("text", F.lit("")), F.coalesce(F.col("text").startswith("__"), F.lit(False))
+    rows = blocks.select(*by, "ord", F.lower(text).alias("text"), F.coalesce("conf", F.lit(0.0)).alias("conf"), (~service).alias("seen"))
+    n = F.length(digits(F.col("text")))
+    seen = F.col("seen")
+    sums = rows.groupBy(*by).agg(
+        F.count_if(seen).alias("n"),
+        F.avg(F.when(seen, F.col("conf"))).alias("conf"),
+        F.array_sort(F.collect_list(F.when(seen, F.struct("ord", "text")))).alias("texts"),  # the blocks of one image
+        F.count_if(seen & n.between(2, 4)).alias("prices"),
+        F.count_if(seen & (n > 0)).alias("numbers"),
+        F.count_if(seen & (n == 13)).alias("codes"),
+        F.count_if(seen & F.trim("text").rlike(r"(?U)^[\W_]+$")).alias("noise"),
+    )
+    whole = F.array_join(F.transform("texts", lambda t: t["text"]), "\n")
+    sums = sums.withColumn("whole", whole)
+    words = sum((F.when(F.col("whole").contains(w), 4.0).otherwise(0.0) for w in LABEL_WORDS), F.lit(0.0))
+    percent = F.when(F.col("whole").rlike(r"\d{1,2}\s*%"), 8.0).when(F.col("whole").contains("%"), 4.0).otherwise(0.0)
+    score = (
+        F.least("n", F.lit(30)) * 0.8 + F.col("conf") * 8.0 + words + percent + F.col("codes") * 8.0
+        + F.least("prices", F.lit(10)) * 2.0 + F.least("numbers", F.lit(15)) * 0.8 - F.col("noise") * 1.2
+        - F.when(F.col("numbers") == 0, 8.0).otherwise(0.0) - F.when(F.col("n") < 4, 5.0).otherwise(0.0)
+    )
+    return sums.select(*by, F.when(F.col("n") == 0, 0.0).otherwise(F.round(score, 4)).alias("score"))
+
+
+def best_variant(blocks: DataFrame, key: str, variant: str) -> DataFrame:
+    """key, variant, score: of an image's variants (ordered by `variant`) the one whose blocks score most, then the first."""
+    scored = block_set_score(blocks, [key, variant])
+    best = scored.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("down"), variant)).alias("m"))
+    return best.select(key, F.col("m")[variant].alias(variant), (-F.col("m.down")).alias("score"))
 
 
 def mechanic(text: Column) -> Column:

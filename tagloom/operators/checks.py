@@ -51,6 +51,39 @@ def price_agrees(seen: Column, code: Column) -> Column:
     return (F.abs(a - b) <= 0.01) | (F.abs(b / 10 - a) <= 0.01)
 
 
+PER_KILOGRAM = "price of the code is per kg, the printed one per 100 g"
+
+
+def code_agreement(rows: DataFrame) -> DataFrame:
+    """rows with barcode_match, price1_match, price2_match and notes: whether what is printed agrees with the code.
+
+    The barcode has to be equal, price_default agree with price1_qr and price_card with price2_qr, within 0.01 or by a
+    tenth, which notes say once. A match is null where either side is null, blank or (of codes and prices) ABSENT."""
+    def plain(c):
+        return F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+
+    def price(c):
+        return parse_price_strict(F.replace(plain(c), F.lit(" "), F.lit("")))
+
+    seen, code = plain("barcode"), plain("qr_code_barcode")
+    known = (seen != "") & ~F.lower(code).isin("", ABSENT)
+    found, tenths = {"barcode_match": F.when(known, seen == code)}, []
+    for name, printed, coded in (("price1_match", "price_default", "price1_qr"), ("price2_match", "price_card", "price2_qr")):
+        a, b = price(printed), price(coded)
+        found[name] = (F.abs(a - b) <= 0.01) | (F.abs(b / 10 - a) <= 0.01)
+        tenths.append(F.coalesce((F.abs(a - b) > 0.01) & (F.abs(b / 10 - a) <= 0.01), F.lit(False)))
+    notes = F.when(tenths[0] | tenths[1], F.array(F.lit(PER_KILOGRAM))).otherwise(F.array().cast("array<string>"))
+    return rows.withColumns(found | {"notes": notes})
+
+
+def code_report(rows: DataFrame, key: str = "filename") -> DataFrame:
+    """The report of `code_agreement`: what was compared beside each outcome as true, false or empty, and the notes."""
+    judged = code_agreement(rows)
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    columns = "barcode qr_code_barcode barcode_match price_default price1_qr price1_match price_card price2_qr price2_match".split()
+    return judged.select(key, *(shown(c) for c in columns), F.array_join("notes", "; ").alias("notes"))
+
+
 def payload_fields(payloads: DataFrame, key: str, payload: str) -> DataFrame:
     """key, name, value: pairs of a payload (an address with a query, or bare pairs); the last value of a name counts."""
     query = F.regexp_replace(F.regexp_replace(F.col(payload), r"^[^?]*\?", ""), "#.*$", "")

@@ -21,7 +21,7 @@ def query(sql: str):
     return add
 
 
-def _blocks(spark, sf_dir) -> DataFrame:
+def block_rows(spark, sf_dir) -> DataFrame:
     """lineitem as blocks: an order is an image. Places, sizes and texts follow from the keys."""
     left, top = F.col("l_partkey") % 400, F.col("l_linenumber") * 60 + F.col("l_suppkey") % 40
     right, bottom = left + 20 + F.col("l_partkey") % 70, top + 10 + F.col("l_partkey") % 30
@@ -61,7 +61,7 @@ z AS (SELECT *, ((top + bottom) / 2 - min(top) OVER i) / nullif(max(bottom) OVER
 @query(f"""WITH {BLOCKS_SQL} SELECT image, count(*) AS parts, min("left") AS left_most, max(bottom) AS lowest
 FROM p WHERE conf >= 0.3 GROUP BY image""")
 def block_filters(spark, sf_dir):
-    rows = _blocks(spark, sf_dir).where(B.visible(0.3) & B.price_part(F.col("text")))
+    rows = block_rows(spark, sf_dir).where(B.visible(0.3) & B.price_part(F.col("text")))
     return rows.groupBy("image").agg(F.count(F.lit(1)).alias("parts"), F.min("left").alias("left_most"), F.max("bottom").alias("lowest"))
 
 
@@ -69,7 +69,7 @@ def block_filters(spark, sf_dir):
 FROM b l JOIN p v ON l.image = v.image AND v.top >= l.top AND v.line > 1 WHERE l.line = 1
 QUALIFY row_number() OVER (PARTITION BY l.image, l.ord ORDER BY v.top - l.top, abs(v."left" - l."left"), v.ord, v.text) = 1""")
 def label_proximity(spark, sf_dir):
-    rows = _blocks(spark, sf_dir).select("image", "ord", "text", "line", "left", "top")
+    rows = block_rows(spark, sf_dir).select("image", "ord", "text", "line", "left", "top")
     labels = rows.where("line = 1").dropDuplicates(["image", "ord"])
     values = rows.where((F.col("line") > 1) & B.price_part(F.col("text")))
     down = F.col("v.top") - F.col("l.top")
@@ -83,19 +83,21 @@ k AS (SELECT m.image, v.text FROM m JOIN d v ON m.image = v.image AND v."left" >
   QUALIFY row_number() OVER (PARTITION BY m.image ORDER BY abs(v.top - m.top), v."left" - m."right", v.ord, v.text) = 1)
 SELECT m.image, concat(m.text, '.', coalesce(k.text, '00')) AS price FROM m LEFT JOIN k ON m.image = k.image""")
 def rouble_kopeck_pairs(spark, sf_dir):
-    return B.main_price(_blocks(spark, sf_dir))
+    return B.main_price(block_rows(spark, sf_dir))
 
 
 @query(f"""WITH {BLOCKS_SQL} SELECT image, text AS date FROM b WHERE regexp_matches(text, '^[0-9]{{2}}\\.[0-9]{{2}}\\.')
-QUALIFY row_number() OVER (PARTITION BY image ORDER BY length(text) < 12, top DESC, ord, text) = 1""")
+QUALIFY row_number() OVER (PARTITION BY image ORDER BY length(text) < 12, top + bottom DESC, ord, text) = 1""")
 def latest_print_date(spark, sf_dir):
-    return B.latest_date(_blocks(spark, sf_dir))
+    return B.latest_date(block_rows(spark, sf_dir))
 
 
-@query(f"""WITH {BLOCKS_SQL} SELECT image, text AS id_sku FROM z WHERE regexp_matches(text, '^[0-9]{{10,12}}$')
-QUALIFY row_number() OVER (PARTITION BY image ORDER BY coalesce(depth, 0) < 0.6, 12 - length(text), "left", top, ord) = 1""")
+@query(f"""WITH {BLOCKS_SQL}, y AS (SELECT *, min(top) OVER i AS y0, max(bottom) OVER i - min(top) OVER i AS h, (top + bottom) / 2 AS cy
+  FROM b WHERE NOT starts_with(text, '__') WINDOW i AS (PARTITION BY image))
+SELECT image, text AS id_sku FROM y WHERE regexp_matches(text, '^[0-9]{{10,12}}$')
+QUALIFY row_number() OVER (PARTITION BY image ORDER BY h = 0 OR cy < y0 + h * 0.6::DOUBLE, 12 - length(text), "left" + "right", cy, ord) = 1""")
 def sku_choice(spark, sf_dir):
-    return B.stock_number(_blocks(spark, sf_dir))
+    return B.stock_number(block_rows(spark, sf_dir))
 
 
 @query("""SELECT conv_id, turn, max(CAST(regexp_matches(text, '[0-9]') AS INTEGER)) OVER w AS digits_near,

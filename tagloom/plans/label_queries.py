@@ -84,9 +84,10 @@ k AS (SELECT m.image, v.text FROM m JOIN d v ON m.image = v.image AND v."left" >
   QUALIFY row_number() OVER (PARTITION BY m.image ORDER BY abs(v.top - m.top), v."left" - m."right", v.ord, v.text) = 1),
 price AS (SELECT m.image, concat(m.text, '.', coalesce(k.text, '00')) AS price FROM m LEFT JOIN k ON m.image = k.image),
 day AS (SELECT image, text AS date FROM b WHERE regexp_matches(text, '^[0-9]{{2}}\\.[0-9]{{2}}\\.')
-  QUALIFY row_number() OVER (PARTITION BY image ORDER BY length(text) < 12, top DESC, ord, text) = 1),
-sku AS (SELECT image, text AS id_sku FROM z WHERE regexp_matches(text, '^[0-9]{{10,12}}$')
-  QUALIFY row_number() OVER (PARTITION BY image ORDER BY coalesce(depth, 0) < 0.6, 12 - length(text), "left", top, ord) = 1),
+  QUALIFY row_number() OVER (PARTITION BY image ORDER BY length(text) < 12, top + bottom DESC, ord, text) = 1),
+low AS (SELECT *, min(top) OVER i AS t0, max(bottom) OVER i - min(top) OVER i AS h, (top + bottom) / 2 AS cy FROM b WHERE NOT starts_with(text, '__') WINDOW i AS (PARTITION BY image)),
+sku AS (SELECT image, text AS id_sku FROM low WHERE regexp_matches(text, '^[0-9]{{10,12}}$')
+  QUALIFY row_number() OVER (PARTITION BY image ORDER BY h = 0 OR cy < t0 + h * 0.6::DOUBLE, 12 - length(text), "left" + "right", cy, ord) = 1),
 long AS (SELECT image, regexp_replace(text, '[^0-9]', '', 'g') AS code FROM b WHERE length(regexp_replace(text, '[^0-9]', '', 'g')) >= 10
   AND NOT regexp_matches(text, '[0-9]{{2}}\\.[0-9]{{2}}\\.') QUALIFY row_number() OVER (PARTITION BY image ORDER BY ord, code) = 1),
 sign AS (SELECT image, string_agg(s, ' ' ORDER BY o, s) AS special_symbols FROM (SELECT image, upper(text) AS s, min(ord) AS o FROM z

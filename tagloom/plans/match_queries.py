@@ -40,8 +40,9 @@ def name_readability(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.name_readability(F.col("text")).alias("readability"))
 
 
-@query("""SELECT doc_id, length(trim(text)) = 0 OR length(regexp_replace(text, '[A-Za-z0-9 .,%/-]', '', 'g')) * 4 > length(text)
-OR len(regexp_extract_all(text, '[A-Za-z0-9]{2,}')) < 2 AS noisy FROM documents""")
+@query(r"""WITH d AS (SELECT doc_id, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS plain FROM documents)
+SELECT doc_id, plain = '' OR length(regexp_replace(plain, '[\p{L}\p{N}\s.,()/"''-]', '', 'g')) * 4 > length(plain)
+OR len(regexp_extract_all(text, '[A-Za-zА-Яа-я0-9]+')) < 2 AS noisy FROM d""")
 def noisy_name(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.noisy_name(F.col("text")).alias("noisy"))
 
