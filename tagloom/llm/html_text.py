@@ -340,17 +340,18 @@ def on_several_pages(groups):
 def main_text(texts: list[str], regions: list[int], runs: list[dict] | None) -> str:
     """The main text: the article's blocks, or else those that may be either, without what the runs cover."""
     inside = ARTICLE in regions
-    stream = [(r, t.split(" ")) for r, t in zip(regions, texts, strict=True) if (r == ARTICLE) == inside]
-    gone = covered(sum(len(words) for _, words in stream), runs, STRICT if inside else WINDOW)
+    own = [(r, t) for r, t in zip(regions, texts, strict=True) if (r == ARTICLE) == inside]
+    width = STRICT if inside else WINDOW
+    if not any(run["width"] == width for run in runs or ()):
+        return "\n".join(t for r, t in own if r != BOILERPLATE)
+    stream = [(r, t.split(" ")) for r, t in own]
+    gone = covered(sum(len(words) for _, words in stream), runs, width)
     kept, at = [], 0
     for region, words in stream:
         cover, at = gone[at : at + len(words)], at + len(words)
-        if not cover.all():  # a quotation within a block is the block's own: only what reaches its borders goes
-            edges = np.flatnonzero(~cover)
-            cover[edges[0] : edges[-1] + 1] = False
-        left = " ".join(w for w, c in zip(words, cover.tolist(), strict=True) if not c)
-        if left and region != BOILERPLATE:
-            kept.append(left)
+        stay = np.flatnonzero(~cover)
+        if len(stay) and region != BOILERPLATE:  # a quotation within a block is the block's own: what reaches its borders goes
+            kept.append(" ".join(words[stay[0] : stay[-1] + 1]))
     return "\n".join(kept)
 
 
