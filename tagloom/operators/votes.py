@@ -12,8 +12,13 @@ from tagloom.schema import ABSENT
 
 
 def unpivot(readings: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """Long form of readings: one row per known field."""
-    return readings.unpivot(keys, fields, "field", "value").where("value IS NOT NULL AND value != ''")
+    """Long form of readings: one row per known field.
+
+    The first key is the group. Readings go to their groups before they are made long, so that a shuffle carries each of
+    them once and not once a field; votes over the groups need no further one."""
+    each = F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields)))
+    long = readings.select(*keys, *fields).repartition(keys[0]).select(*keys, each)
+    return long.where("value IS NOT NULL AND value != ''")
 
 
 def quality(fields: dict[str, Column], points: dict[str, int]) -> tuple[Column, Column]:
@@ -28,20 +33,22 @@ def field_vote(long: DataFrame, group: str = "group_id", absent: str | None = No
     """The winner per group and field: most frequent, then best score, best filled count, first seen.
 
     With `absent`, that value wins only where nothing else was read. The source is the view of the best reading of the
-    winning value. Values are counted before groups are, so a shuffle carries one row per value and input partition."""
-    best = F.struct("score", "filled", (-F.col("ord")).alias("late"))
-    counts = long.groupBy(group, "field", "value").agg(
-        F.count(F.lit(1)).alias("votes"),
-        F.max("score").alias("score"),
-        F.max("filled").alias("filled"),
-        F.min("ord").alias("ord"),
-        F.max_by("view", best).alias("source_view"),
-    )
-    order = [F.desc("votes"), F.desc("score"), F.desc("filled"), F.asc("ord")]
-    if absent is not None:
-        order.insert(0, F.asc(F.col("value") == absent))
-    turn = F.row_number().over(Window.partitionBy(group, "field").orderBy(*order))
-    return counts.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
+    winning value. Values are counted before groups are."""
+    known = [] if absent is None else [(F.col("value") != absent).alias("known")]
+    won = _counts(long, [group, "field"]).groupBy(group, "field").agg(F.max(F.struct(*known, *_RANK)).alias("w"))
+    return won.select(group, "field", "w.value", "w.votes", "w.score", "w.filled", (-F.col("w.late")).alias("ord"), "w.source_view")
+
+
+#: Values of a group, the winner greatest: most votes, best score, best filled count, first seen.
+_RANK = ["votes", "score", "filled", "late", "value", "source_view"]
+
+
+def _counts(long: DataFrame, keys: list[str]) -> DataFrame:
+    """Votes of each value, its best score and filled count, first place, and the view of its best reading. Of a value's
+    readings the best one has the best score, so that is not kept twice."""
+    best = F.max(F.struct("score", "filled", (-F.col("ord")).alias("late"), "view")).alias("best")
+    counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("votes"), F.max("filled").alias("filled"), F.min("ord").alias("ord"), best)
+    return counts.select(*keys, "value", "votes", F.col("best.score").alias("score"), "filled", (-F.col("ord")).alias("late"), F.col("best.view").alias("source_view"))
 
 
 def best_reading(readings: DataFrame, group: str, order: list[Column]) -> DataFrame:
@@ -50,13 +57,15 @@ def best_reading(readings: DataFrame, group: str, order: list[Column]) -> DataFr
 
 
 def barcode_vote(long: DataFrame, group: str = "group_id") -> DataFrame:
-    """field_vote over valid EAN-13 codes only, with the number of distinct ones and of ignored readings."""
-    marked = long.withColumn("value", digits("value")).withColumn("ok", valid_ean13(F.col("value")))
-    winner = field_vote(marked.where("ok").drop("ok"), group)
-    notes = marked.groupBy(group).agg(
-        F.countDistinct(F.when(F.col("ok"), F.col("value"))).alias("codes"), F.count_if(~F.col("ok")).alias("ignored")
-    )
-    return notes.join(winner.select(group, "value", "votes", "source_view"), group, "left")
+    """field_vote over valid EAN-13 codes only, with the number of distinct ones and of ignored readings.
+
+    long: readings of one field. Codes are counted before they are checked, so each is checked once in a group."""
+    counts = _counts(long.repartition(group).withColumn("value", digits("value")), [group])
+    marked = counts.withColumn("ok", valid_ean13(F.col("value")))
+    best = F.max(F.when(F.col("ok"), F.struct(*_RANK))).alias("w")
+    ignored = F.coalesce(F.sum(F.when(~F.col("ok"), F.col("votes"))), F.lit(0)).alias("ignored")
+    found = marked.groupBy(group).agg(F.count_if("ok").alias("codes"), ignored, best)
+    return found.select(group, "codes", "ignored", "w.value", "w.votes", "w.source_view")
 
 
 def consistent_price(readings: DataFrame, group: str = "group_id") -> DataFrame:
@@ -73,10 +82,11 @@ def consistent_price(readings: DataFrame, group: str = "group_id") -> DataFrame:
     voted = won.groupBy(group).agg(*(F.max(F.when(c("field") == f, c("value"))).alias(f"voted_{f}") for f in fields))
     card, share = parse_price(c("voted_price_card")), discount_share(c("voted_discount_amount"))
     voted = voted.select(group, "voted_price_default", card.alias("card"), expected_price(card, share).alias("expected"))
-    both = readings.join(voted, group)
     full = parse_price(c("price_default"))
     texts = F.concat(*(F.coalesce(derived_prices(c(f), c("expected")), F.array().cast("array<double>")) for f in ("product_name", "price_default")))
-    derived = F.array_min(F.transform(texts, lambda p: F.struct(F.abs(p - c("expected")).alias("off"), p.alias("price"))))
+    nearest = F.array_min(F.transform(texts, lambda p: F.struct(F.abs(p - c("expected")).alias("off"), p.alias("price"))))
+    both = readings.join(voted, group).withColumn("derived", nearest)  # a column, so that it is worked out once a reading
+    derived = c("derived")
     off, late = F.abs(full - c("expected")), [(-c("score")).alias("less"), c("ord").alias("ord")]
     explicit = F.when(
         (full > F.coalesce(c("card"), F.lit(0.0))) & near(full, c("expected")),
