@@ -54,3 +54,13 @@ def test_only_wholes_in_reach_get_endings(spark):
         return sorted({p for p in every if e is not None and abs(p - e) <= max(30, e * 0.05)})
 
     assert [sorted(r["p"] or []) for r in df.collect()] == [plain(t, e) for t, e in rows]
+
+
+def test_only_postings_of_asked_tokens_are_kept(spark):
+    from tagloom.plans import match_queries as M
+
+    asked = spark.createDataFrame([(1, ["red", "wine"], ["wine"])], "item_id long, tokens array<string>, strong array<string>")
+    items = spark.createDataFrame([(7, ["red", "tea"]), (8, ["wine", "red"]), (9, ["tea"])], "doc_id long, item_tokens array<string>")
+    index = M._asked_index(asked, items)
+    assert {tuple(r) for r in index.select("doc_id", "token").collect()} == {(7, "red"), (8, "red"), (8, "wine")}
+    assert [(r["item_id"], r["doc_id"]) for r in M._candidates(asked, index).collect()] == [(1, 8)]
