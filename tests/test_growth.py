@@ -64,3 +64,16 @@ def test_only_postings_of_asked_tokens_are_kept(spark):
     index = M._asked_index(asked, items)
     assert {tuple(r) for r in index.select("doc_id", "token").collect()} == {(7, "red"), (8, "red"), (8, "wine")}
     assert [(r["item_id"], r["doc_id"]) for r in M._candidates(asked, index).collect()] == [(1, 8)]
+
+
+def test_prices_gather_an_image_once(spark):
+    from tagloom.operators import prices
+
+    block = "image string, ord int, text string, conf double, box array<struct<x: double, y: double>>"
+    made = [("a", 1, "без карты", 0.9, [(0.0, 0.0), (90.0, 20.0)]), ("a", 2, "1315", 0.9, [(60.0, 20.0), (100.0, 40.0)]), ("a", 3, "78", 0.9, [(105.0, 20.0), (120.0, 40.0)])]
+    rows = spark.createDataFrame(made, block)
+    for find, want in ((prices.red_full_price, 1315.78), (prices.card_price, 1315.78), (prices.price_without_card, 1315.78), (prices.red_card_price, 1315.78)):
+        got = find(rows)
+        assert "Join" not in _plan(got)
+        assert [r["price"] for r in got.collect()] in ([want], [])
+    assert [r["price"] for r in prices.red_full_price(rows).collect()] == [1315.78]
