@@ -77,3 +77,16 @@ def test_prices_gather_an_image_once(spark):
         assert "Join" not in _plan(got)
         assert [r["price"] for r in got.collect()] in ([want], [])
     assert [r["price"] for r in prices.red_full_price(rows).collect()] == [1315.78]
+
+
+def test_payloads_are_sorted_not_their_pairs(spark):
+    from tagloom.operators import payloads
+
+    rows = [(1, "https://a.b/q?p1=1,5&x=1;p1=2&x=%32"), (1, "p1=3"), (2, '{"barcode": "4006381333931", "in": {"price1": "7 0", "y": "{bad"}}'), (3, " "), (4, None), (5, "b=12&&=")]
+    found = payloads.qr_fields(spark.createDataFrame(rows, "k int, p string"), "k", "p")
+    plan = _plan(found)
+    assert plan.count("Exchange") == 1 and "Generate" not in plan and "Join" not in plan
+    got = {r["k"]: (r["qr_code_barcode"], r["price1_qr"], r["price2_qr"], r["unknown"]) for r in found.where("k != 1").collect()}
+    assert got == {2: ("4006381333931", "70", "нет", {"y": "{bad"}), 5: ("", "нет", "нет", {"": ""})}
+    (one,) = found.where("k = 1").collect()
+    assert one["unknown"] == {"x": "2"} and one["price1_qr"] in ("2", "3")
