@@ -90,3 +90,28 @@ def test_payloads_are_sorted_not_their_pairs(spark):
     assert got == {2: ("4006381333931", "70", "нет", {"y": "{bad"}), 5: ("", "нет", "нет", {"": ""})}
     (one,) = found.where("k = 1").collect()
     assert one["unknown"] == {"x": "2"} and one["price1_qr"] in ("2", "3")
+
+
+def test_fields_of_a_label_take_one_pass(spark):
+    from tagloom.operators import blocks as B
+    from tagloom.operators import families
+    from tagloom.operators import labels as L
+
+    block = "image string, ord int, text string, conf double, box array<struct<x: double, y: double>>"
+    texts = ["1315", "78", "01.02.2024", "02.03.2024 10:30", "1234567890", "-22%", "ш", "к", "__99", "229"]
+    made = [(i, n, t, 0.9, [(10.0 * n, 30.0 * (n * k % 11)), (10.0 * n + 9, 30.0 * (n * k % 11) + 9 + n)]) for i, k in (("a", 1), ("b", 3), ("c", 7)) for n, t in enumerate(texts)]
+    rows = spark.createDataFrame([*made, ("d", 1, "x", 0.9, None)], block)
+    placed = B.bounds(rows)
+    read = L.read_fields(placed)
+    plan = _plan(read)
+    assert plan.count("Exchange") == 1 and plan.count("- Sort ") <= 1 and "Join" not in plan
+    types = rows.groupBy("image").agg(F.min(F.lit("x")).alias("family"))
+    assert _plan(L.extract(placed, types)).count("Exchange hashpartitioning") <= 2
+    assert _plan(families.generic(rows)).count("Exchange") == 1
+    got = {r["image"]: r for r in read.collect()}
+    each = {"price": B.main_price(placed), "date": B.latest_date(placed), "id_sku": B.stock_number(placed), "long_code": L.long_code(placed), "discount_amount": L.discount(placed), "special_symbols": L.symbols(placed)}
+    each["first_date"] = B.text_date(placed).withColumnRenamed("date", "first_date")
+    for field, alone in each.items():
+        found = {r["image"]: r[field] for r in alone.collect()}
+        assert {i: r[field] for i, r in got.items()} == {i: found.get(i) for i in "abcd"}
+    assert got["a"]["first_date"] == "01.02.2024" and got["a"]["date"] == "02.03.2024 10:30" and got["a"]["discount_amount"] == "-22%"
