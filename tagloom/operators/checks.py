@@ -22,7 +22,7 @@ def compare_fields(expected: DataFrame, actual: DataFrame, prices: list[str], te
     """key, field, expected, actual, match for rows (key, field, value) of keys that both sides have.
 
     Prices agree within 0.01 (a value marked absent only with itself), texts softly or by a similarity of 0.9, others
-    exactly. Null and empty are the same. Only texts that differ go to Python."""
+    exactly. Null and empty are the same. The sides are joined once; of texts that don't differ Python gets nulls."""
     def plain(c):
         return F.trim(F.coalesce(F.col(c), F.lit("")))
 
@@ -37,8 +37,9 @@ def compare_fields(expected: DataFrame, actual: DataFrame, prices: list[str], te
     exact = F.when(F.col("field").isin(prices), price).when(F.col("field").isin(texts), soft).otherwise(same)
     judged = both.withColumn("match", exact)
     unsure = F.col("field").isin(texts) & ~F.col("match")
-    alike = similarity(soft_text(F.col("expected")), soft_text(F.col("actual"))) >= 0.9
-    return judged.where(~unsure).unionByName(judged.where(unsure).withColumn("match", alike))
+    asked = lambda side: F.when(unsure, soft_text(F.col(side)))
+    alike = similarity(asked("expected"), asked("actual")) >= 0.9
+    return judged.withColumn("alike", alike).withColumn("match", F.when(unsure, F.col("alike")).otherwise(F.col("match"))).drop("alike")
 
 
 def field_accuracy(compared: DataFrame) -> DataFrame:

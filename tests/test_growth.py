@@ -115,3 +115,16 @@ def test_fields_of_a_label_take_one_pass(spark):
         found = {r["image"]: r[field] for r in alone.collect()}
         assert {i: r[field] for i, r in got.items()} == {i: found.get(i) for i in "abcd"}
     assert got["a"]["first_date"] == "01.02.2024" and got["a"]["date"] == "02.03.2024 10:30" and got["a"]["discount_amount"] == "-22%"
+
+
+def test_compared_sides_are_joined_once(spark):
+    from tagloom.operators import checks
+
+    rows = [("k1", "name", "Green tea"), ("k2", "name", "Green tea leaves"), ("k3", "name", "abc"), ("k4", "name", None), ("k1", "price", "5"), ("k2", "code", "x")]
+    seen = [("k1", "name", "green  tea"), ("k2", "name", "Green tea leavs"), ("k3", "name", "xyz"), ("k4", "name", ""), ("k1", "price", "5,00"), ("k2", "code", "y")]
+    of = "key string, field string, value string"
+    found = checks.compare_fields(spark.createDataFrame(rows, of), spark.createDataFrame(seen, of), ["price"], ["name"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert found.columns == ["key", "field", "expected", "actual", "match"]
+    got = {(r["key"], r["field"]): r["match"] for r in found.collect()}
+    assert got == {("k1", "name"): True, ("k2", "name"): True, ("k3", "name"): False, ("k4", "name"): True, ("k1", "price"): True, ("k2", "code"): False}
