@@ -128,3 +128,13 @@ def test_compared_sides_are_joined_once(spark):
     assert found.columns == ["key", "field", "expected", "actual", "match"]
     got = {(r["key"], r["field"]): r["match"] for r in found.collect()}
     assert got == {("k1", "name"): True, ("k2", "name"): True, ("k3", "name"): False, ("k4", "name"): True, ("k1", "price"): True, ("k2", "code"): False}
+
+
+def test_postings_are_never_broadcast(spark):
+    from tagloom.plans import match_queries as M
+
+    sf = "/root/testdata/sf0.001"
+    found = _plan(M._searched(spark, sf, 1))
+    assert "SortMergeJoin [doc_id" in found  # candidates with the documents' postings
+    lookup = [line for line in _plan(M.catalog_candidates(spark, sf)).splitlines() if "BroadcastHashJoin [token" in line]
+    assert lookup and all("BuildLeft" in line for line in lookup)  # the looked up tokens, not the postings
