@@ -138,3 +138,18 @@ def test_postings_are_never_broadcast(spark):
     assert "SortMergeJoin [doc_id" in found  # candidates with the documents' postings
     lookup = [line for line in _plan(M.catalog_candidates(spark, sf)).splitlines() if "BroadcastHashJoin [token" in line]
     assert lookup and all("BuildLeft" in line for line in lookup)  # the looked up tokens, not the postings
+
+
+def test_long_names_are_not_repeated_for_their_tokens(spark):
+    from tagloom.operators import catalog as C
+
+    text = " ".join(f"word{i} merlot chateau" for i in range(300))
+    items = spark.createDataFrame([(1, text, "1"), (2, "merlot rouge", "2"), (3, text, "3")], "item_id int, fullname string, code string")
+    named = C.named_items(items)
+    tokens = C.product_tokens(named.select("name_id", "fullname"), "name_id", "fullname")
+    assert tokens.count() == 2 and {len(bytes(r["name_id"])) for r in tokens.collect()} == {32}
+    sent = [line for line in _plan(tokens).splitlines() if "Exchange" in line or "collect_set" in line]
+    assert sent and not any("fullname" in line for line in sent)
+    assert "BroadcastHashJoin" in _plan(tokens)  # the few corrected tokens, so tokens aren't shuffled for them
+    got = {r.name: (r.item_id, r.one_code, [t.item_id for t in r.top]) for r in C.search(spark.createDataFrame([("merlot word7",), ("rouge merlot",)], "name string"), items).collect()}
+    assert got["merlot word7"] == (1, False, [1, 3, 2]) and got["rouge merlot"][:2] == (2, True)
