@@ -153,3 +153,19 @@ def test_long_names_are_not_repeated_for_their_tokens(spark):
     assert "BroadcastHashJoin" in _plan(tokens)  # the few corrected tokens, so tokens aren't shuffled for them
     got = {r.name: (r.item_id, r.one_code, [t.item_id for t in r.top]) for r in C.search(spark.createDataFrame([("merlot word7",), ("rouge merlot",)], "name string"), items).collect()}
     assert got["merlot word7"] == (1, False, [1, 3, 2]) and got["rouge merlot"][:2] == (2, True)
+
+
+def test_shuffle_files_of_stored_tables_are_removed(spark):
+    import time
+
+    from tagloom.sources.shared import CLEANED, stored
+
+    manager = spark._jsc.sc().env().blockManager().diskBlockManager()
+    listed = lambda: {n for n in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in n}
+    had, rows = listed(), spark.range(100_000)
+    made = stored(rows.groupBy((F.col("id") % 50_000).alias("k")).agg(F.sum("id").alias("s")).join(rows, F.col("k") == F.col("id")), "made")
+    until = time.time() + 10
+    while listed() - had and time.time() < until:
+        time.sleep(0.2)
+    assert not listed() - had
+    assert made.count() == 50_000 and spark.conf.get(CLEANED) == "false"
